@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -50,10 +52,10 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if str(ROOT) in paths or getattr(sc, "_tessera_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as tmp:
-        archive = Path(tmp) / "tessera_package.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for f in sorted((ROOT / "tessera").rglob("*.py")):
-                z.write(f, f.relative_to(ROOT))
-        sc.addPyFile(str(archive))
-        sc._tessera_shipped = True
+    archive = Path(tempfile.mkdtemp(prefix="tessera-package-")) / "tessera_package.zip"
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((ROOT / "tessera").rglob("*.py")):
+            z.write(f, f.relative_to(ROOT))
+    sc.addPyFile(str(archive))
+    sc._tessera_shipped = True
