@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def sha(text: str) -> str:
 def slices(batch: pa.RecordBatch, text_index: int = 1, most_bytes: int = 4 << 20):
     """Sub-batches of about most_bytes of text (one long text may exceed it alone)."""
     col = batch.column(text_index)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(sizes):
         total += n
