@@ -13,6 +13,7 @@ learned. Ties go to the language that sorts first.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Generations, crc_mod, slices, table, texts_of
+from tessera.llm.common import crc_mod, slices, table, texts_of
 from tessera.session import ship
 
 MARK = "▁"
 LETTERS = regex.compile(r"\p{L}{1,24}")
 #: Parameters of the fit: about so many documents and words a language, longest piece, EM rounds.
-DOCS_PER_LANGUAGE, WORDS_PER_LANGUAGE, LONGEST, ROUNDS = 400, 40_000, 8, 3
+DOCS_PER_LANGUAGE, WORDS_PER_LANGUAGE, LONGEST, ROUNDS = 300, 8_000, 6, 2
 FLOOR = 1e-7
 
 
@@ -52,22 +53,61 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def lattice(words: list[str], pieces: dict[str, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+class Places:
+    """Rows of pieces by a rolling hash of their letters, in open tables of one array lookup."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: dict[str, int]):
+        self.none = len(pieces) + 1
+        keys = np.array([self.hashed(p) for p in pieces], np.uint64)
+        assert len(set(keys.tolist())) == len(keys)
+        self.shift = np.uint64(64 - max(8, (8 * max(1, len(keys))).bit_length()))
+        slots = 1 << (64 - int(self.shift))
+        self.keys = np.zeros(slots, np.uint64)
+        self.rows = np.full(slots, self.none, np.int32)
+        self.more: dict[int, int] = {}  # pieces whose slot is taken
+        for k, row in zip(keys, pieces.values(), strict=True):
+            at = int(k >> self.shift)
+            if self.rows[at] == self.none:
+                self.keys[at], self.rows[at] = k, row
+            else:
+                self.more[int(k)] = row
+        self.rest = np.array(sorted(self.more), np.uint64)
+        self.rest_rows = np.array([self.more[int(k)] for k in self.rest], np.int32)
+
+    @classmethod
+    def hashed(cls, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = ((h + ord(c) + 1) * int(cls.BASE)) & (2**64 - 1)
+        return h
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        at = (h >> self.shift).astype(np.int64)
+        out = np.where(self.keys[at] == h, self.rows[at], self.none)
+        if len(self.rest):
+            k = np.minimum(np.searchsorted(self.rest, h), len(self.rest) - 1)
+            out = np.where(self.rest[k] == h, self.rest_rows[k], out)
+        return out
+
+
+def lattice(words: list[str], places: Places) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length: the places of the words, and for each word, start and piece length the piece's row."""
     by: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         by.setdefault(len(w) + 1, []).append(k)
-    out, none, get = {}, len(pieces) + 1, pieces.get
+    out = {}
     for n, ks in by.items():
-        flat = []
-        for k in ks:
-            w = MARK + words[k]
-            for i in range(n):
-                row = [get(w[i : i + m], none) for m in range(1, LONGEST + 1) if i + m <= n]
-                if row[0] == none:
-                    row[0] = none - 1
-                flat.append(row + [none] * (LONGEST - len(row)))
-        out[n] = np.array(ks), np.array(flat, np.int32).reshape(len(ks), n, LONGEST)
+        codes = np.frombuffer("".join(MARK + words[k] for k in ks).encode("utf-32-le"), np.uint32).reshape(len(ks), n).astype(np.uint64) + np.uint64(1)
+        grid = np.full((len(ks), n, LONGEST), places.none, np.int32)
+        h = np.zeros((len(ks), n), np.uint64)
+        for m in range(1, min(LONGEST, n) + 1):
+            h = (h[:, : n - m + 1] + codes[:, m - 1 :]) * Places.BASE
+            grid[:, : n - m + 1, m - 1] = places.find(h)
+        unknown = grid[:, :, 0] == places.none
+        grid[:, :, 0][unknown] = places.none - 1
+        out[n] = np.array(ks), grid
     return out
 
 
@@ -89,7 +129,7 @@ def fit_counts(langs: list[str], counts: dict[str, dict[str, int]], vocabulary:
     known = set(vocabulary)
     used = sorted({x for w in words for i in range(len(w) + 1) for m in range(1, LONGEST + 1) if (x := (MARK + w)[i : i + m]) in known})
     pieces = {p: k for k, p in enumerate(used)}
-    grids = lattice(words, pieces)
+    grids = lattice(words, Places(pieces))
     rows = len(pieces) + 2
     probs = np.full((rows, len(langs)), 1 / max(1, len(pieces)))
     for _ in range(ROUNDS):
@@ -151,8 +191,8 @@ def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 class Scorer:
     """Log likelihoods of space-separated chunks, kept by chunk."""
 
-    def __init__(self, model: Model, cache: int = 150_000):
-        self.model, self.most = model, cache
+    def __init__(self, model: Model, cache: int = 300_000):
+        self.model, self.lookup = model, Places(model.pieces)
         self.places: dict[str, int] = {}
         self.rows = np.zeros((cache, len(model.langs) + 1))  # the last column: letters
 
@@ -165,7 +205,7 @@ class Scorer:
         runs = [LETTERS.findall(c) for c in new]
         words = list(dict.fromkeys(w for r in runs for w in r))
         logs = np.zeros((len(words), len(self.model.langs)))
-        for n, (ks, grid) in lattice(words, self.model.pieces).items():
+        for n, (ks, grid) in lattice(words, self.lookup).items():
             logs[ks] = np.log(np.maximum(forward(grid, self.model.probs)[:, n], 1e-300))
         at = {w: k for k, w in enumerate(words)}
         first = len(self.places)
@@ -193,7 +233,7 @@ class Scorer:
         return preds, scores
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -201,15 +241,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # its size is bounded by vocabulary and languages
-    names = [id_col, *keep]
+    names, key = [id_col, *keep], uuid4().hex
 
     def run(batches):
-        if shared.id not in _SCORERS:
+        if key not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[shared.id] = Scorer(shared.value)
+            _SCORERS[key] = Scorer(shared.value)
         for batch in batches:
             for part in slices(batch, most_bytes=2 << 20):
-                preds, scores = _SCORERS[shared.id].predict(texts_of(part))
+                preds, scores = _SCORERS[key].predict(texts_of(part))
                 cols = [part.column(0), *(part.column(k) for k in range(2, part.num_columns)), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "score"])
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe
+from tessera.llm import bpe, langid, quality, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op2_quality": quality.op2_quality,
     "op6_bpe": bpe.op6_bpe,
+    "op7_langid": langid.op7_langid,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLES: dict[str, str] = {}

@@ -4,14 +4,15 @@ A text is a bag of sentences. Each sentence has a logistic score over its words;
 the noisy-or of its sentences. Only the texts' labels are learned from (log likelihood of the
 noisy-or, Adam, weight decay), then the sentences' own scores tell where the offence is.
 
-Sentences end at `.`, `!`, `?` and line breaks. Words are lower-case letter runs that at least
-MIN_DOCS texts of the sample hold. Null and empty texts are one empty sentence, scored by the bias.
+Sentences end at `.`, `!`, `?` and line breaks. Words are lower-case letter runs; their starts
+are features, too, as offence may sit in the stem. Null and empty texts are one empty sentence, scored by the bias.
 Without labels of both classes every score is 0.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -25,89 +26,100 @@ from tessera.session import ship
 LETTERS = regex.compile(r"\p{L}+")
 ENDS = regex.compile(r"[.!?][^\p{L}\p{N}]*$")
 SENTENCES = regex.compile(r"[^\n]+?(?:[.!?](?=\s|$)|$|(?=\n))")
-#: Parameters of the fit: about so many labelled texts of each class, texts that a word needs, steps.
-DOCS_PER_CLASS, MIN_DOCS, STEPS = 2_000, 8, 250
+#: Parameters of the fit: about so many labelled texts of each class, texts that a
+#: feature needs, steps, least z of a feature's association with label 1, weight decay.
+DOCS_PER_CLASS, MIN_DOCS, STEPS, LEAST_Z, DECAY = 1_500, 5, 300, 4.0, 1e-4
 
 
 @dataclass
 class Model:
-    words: dict[str, int]
-    weights: np.ndarray  # the last one, 0, stands for all other words
+    weights: dict[str, float]  # of words, and of word starts followed by a hyphen
     bias: float
 
 
-def bag(chunks: list[str], codes) -> tuple[np.ndarray, np.ndarray]:
-    """Word codes and sentence numbers of a text's chunks; code = 2 * word + 1 if the sentence ends."""
-    c = np.fromiter(map(codes, chunks), np.int64, len(chunks))
-    ends = c & 1
-    return c >> 1, np.cumsum(ends) - ends
+def features(word: str) -> list[str]:
+    """A word, and its starts of four to eight letters."""
+    return [word, *(f"{word[:k]}-" for k in range(4, min(9, len(word))))]
 
 
-class Coder:
-    """Codes of chunks. A chunk of several letter runs counts as the first known one."""
+class Weigher:
+    """Weights of space-separated chunks, kept by chunk, with a mark where a sentence ends."""
 
-    def __init__(self, words: dict[str, int], cache: int = 250_000):
-        self.words, self.other, self.cache = words, len(words), Generations(cache)
-
-    def split(self, text: str) -> list[str]:
-        return text.lower().replace("\n", " . ").split()
+    def __init__(self, model: Model, cache: int = 250_000):
+        self.model, self.cache = model, Generations(cache)
 
     def learn(self, chunks: set[str]) -> None:
+        get = self.model.weights.get
         for c in self.cache.missing(chunks):
-            word = next((w for x in LETTERS.findall(c) if (w := self.words.get(x)) is not None), self.other)
-            self.cache.young[c] = word * 2 + (ENDS.search(c) is not None)
+            weight = sum(get(f, 0.0) for w in LETTERS.findall(c) for f in features(w))
+            self.cache.young[c] = complex(weight, ENDS.search(c) is not None)
 
-    def codes(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        split = [self.split(t) for t in texts]
+    def score(self, texts: list[str]) -> list[tuple[float, int]]:
+        """Noisy-or, and number of sentences at 0.5 or more, of each text."""
+        split = [t.lower().replace("\n", " . ").split() for t in texts]
         self.learn({c for s in split for c in s})
-        return [bag(s, self.cache.young.__getitem__) for s in split]
-
-
-def score_bags(model: Model, bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int]]:
-    """Noisy-or, and sentences at 0.5 or more, of each bag."""
-    out = []
-    for words, sentence in bags:
-        z = model.bias + np.bincount(sentence, model.weights[words], int(sentence[-1]) + 1 if len(sentence) else 1)
-        log_not = -np.logaddexp(0, z)
-        out.append((float(-np.expm1(log_not.sum())), int((z >= 0).sum())))
-    return out
+        known, out = self.cache.young.__getitem__, []
+        for s in split:
+            got = np.fromiter(map(known, s), complex, len(s))
+            ends = got.imag.astype(np.int64)
+            sentence = np.cumsum(ends) - ends
+            z = self.model.bias + np.bincount(sentence, got.real, int(sentence[-1]) + 1 if len(s) else 1)
+            out.append((float(-np.expm1(-np.logaddexp(0, z).sum())), int((z >= 0).sum())))
+        return out
 
 
 def fit_texts(texts: list[str], labels: list[int], min_docs: int = MIN_DOCS, steps: int = STEPS) -> Model | None:
+    """Screen features by their association with the labels, then fit the noisy-or on those left."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return None
-    found: dict[str, int] = {}
-    for t in texts:
-        for w in set(LETTERS.findall(t.lower())):
-            found[w] = found.get(w, 0) + 1
-    words = {w: k for k, w in enumerate(sorted(w for w, n in found.items() if n >= min_docs))}
-    coder, bags = Coder(words), []
-    for t in texts:
-        bags += coder.codes([t])
-    sizes = [int(s[-1]) + 1 if len(s) else 1 for _, s in bags]
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    word = np.concatenate([w for w, _ in bags])
-    where = np.concatenate([s + f for (_, s), f in zip(bags, first[:-1], strict=True)])
-    keep = word < len(words)
-    word, where, total = word[keep], where[keep], int(first[-1])
-    doc = np.repeat(np.arange(len(bags)), sizes)
-    w, b = np.zeros(len(words) + 1), -5.0
+    found: dict[str, list[int]] = {}
+    for t, label in zip(texts, labels, strict=True):
+        for f in {f for w in set(LETTERS.findall(t.lower())) for f in features(w)}:
+            found.setdefault(f, [0, 0])[label] += 1
+    pos, neg = y.sum(), len(y) - y.sum()
+    kept = []
+    for f, (n0, n1) in found.items():
+        if n0 + n1 >= min_docs:
+            p = (n0 + n1) / (pos + neg)
+            if (n1 / pos - n0 / neg) >= LEAST_Z * np.sqrt(p * (1 - p) * (1 / pos + 1 / neg)):
+                kept.append(f)
+    place = {f: k for k, f in enumerate(sorted(kept))}
+    feature, where, doc, total = [], [], [], 0
+    for d, t in enumerate(texts):
+        for sentence in sentences(t):
+            for w in LETTERS.findall(sentence):
+                for f in features(w):
+                    if (k := place.get(f)) is not None:
+                        feature.append(k)
+                        where.append(total)
+            doc.append(d)
+            total += 1
+    feature, where, doc = np.array(feature, np.int64), np.array(where, np.int64), np.array(doc, np.int64)
+    w, b = np.zeros(len(place)), -5.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    even = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # either class weighs a half
+    even = np.where(y == 1, 0.5 / pos, 0.5 / neg)  # either class weighs a half
     for step in range(1, steps + 1):
-        z = b + np.bincount(where, w[word], total)
+        z = b + np.bincount(where, w[feature], total)
         p = 1 / (1 + np.exp(-z))
-        log_not = np.bincount(doc, -np.logaddexp(0, z), len(bags))
-        any_ = np.clip(-np.expm1(log_not), 1e-9, 1)
+        any_ = np.clip(-np.expm1(np.bincount(doc, -np.logaddexp(0, z), len(y))), 1e-9, 1)
         # d loss / d z of a sentence: p for a clean text, -p * (1 - P) / P for a toxic one
         g = even[doc] * p * np.where(y[doc] == 1, -(1 - any_[doc]) / any_[doc], 1)
-        grad = np.append(np.bincount(word, g[where], len(w)) + 1e-5 * w, g.sum())
+        grad = np.append(np.bincount(feature, g[where], len(w)) + DECAY * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-        w[-1] = 0
-    return Model(words, w, float(b))
+    return Model({f: float(w[k]) for f, k in place.items() if w[k]}, float(b))
+
+
+def sentences(text: str) -> list[str]:
+    """The sentences of a text in lower case, as the weigher parts them; at least one."""
+    out: list[list[str]] = [[]]
+    for c in text.lower().replace("\n", " . ").split():
+        out[-1].append(c)
+        if ENDS.search(c):
+            out.append([])
+    return [" ".join(s) for s in out if s] or [""]
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = DOCS_PER_CLASS) -> Model | None:
@@ -126,26 +138,22 @@ def sampled(labels: DataFrame, id_col: str, label_col: str, docs_per_class: int)
     return one.filter(place < share)
 
 
-_CODERS: dict[int, Coder] = {}
+_WEIGHERS: dict[str, Weigher] = {}
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, kept columns, score, predicted and n_toxic_sentences for every whole text."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [id_col, *keep]
+    names, key = [id_col, *keep], uuid4().hex
 
     def run(batches):
-        own = shared.value
-        if shared.id not in _CODERS:
-            _CODERS.clear()
-            _CODERS[shared.id] = Coder(own.words if own else {})
+        if shared.value and key not in _WEIGHERS:
+            _WEIGHERS.clear()
+            _WEIGHERS[key] = Weigher(shared.value)
         for batch in batches:
             for part in slices(batch, most_bytes=2 << 20):
-                if own:
-                    got = score_bags(own, _CODERS[shared.id].codes(texts_of(part)))
-                else:
-                    got = [(0.0, 0)] * part.num_rows
+                got = _WEIGHERS[key].score(texts_of(part)) if shared.value else [(0.0, 0)] * part.num_rows
                 cols = [part.column(0), *(part.column(k) for k in range(2, part.num_columns)), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), pa.array([n for _, n in got], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "score", "predicted", "n_toxic_sentences"])
 
@@ -157,8 +165,8 @@ def locate(text: str, model: Model) -> list[tuple[int, int, float]]:
     """Start, end and score of each sentence of a text that scores 0.5 or more."""
     out = []
     for s in SENTENCES.finditer(text or ""):
-        words = [model.words[w] for w in LETTERS.findall(s[0].lower()) if w in model.words]
-        p = 1 / (1 + np.exp(-(model.bias + model.weights[words].sum())))
+        z = model.bias + sum(model.weights.get(f, 0.0) for w in LETTERS.findall(s[0].lower()) for f in features(w))
+        p = 1 / (1 + np.exp(-z))
         if p >= 0.5:
             out.append((s.start(), s.end(), float(p)))
     return out
