@@ -203,18 +203,18 @@ class Scorer:
             if len(new) > len(self.rows):
                 self.rows = np.zeros((len(new), self.rows.shape[1]))
         runs = [LETTERS.findall(c) for c in new]
-        words = list(dict.fromkeys(w for r in runs for w in r))
-        logs = np.zeros((len(words), len(self.model.langs)))
+        at: dict[str, int] = {}
+        flat = np.array([at.setdefault(w, len(at)) for r in runs for w in r], np.int64)
+        words = list(at)
+        logs = np.zeros((len(words), len(self.model.langs) + 1))
+        logs[:, -1] = np.fromiter(map(len, words), float, len(words))
         for n, (ks, grid) in lattice(words, self.lookup).items():
-            logs[ks] = np.log(np.maximum(forward(grid, self.model.probs)[:, n], 1e-300))
-        at = {w: k for k, w in enumerate(words)}
+            logs[ks, :-1] = np.log(np.maximum(forward(grid, self.model.probs)[:, n], 1e-300))
         first = len(self.places)
-        for k, (c, r) in enumerate(zip(new, runs, strict=True), first):
-            self.places[c] = k
-            self.rows[k] = 0
-            for w in r:
-                self.rows[k, :-1] += logs[at[w]]
-                self.rows[k, -1] += len(w)
+        self.places.update(zip(new, range(first, first + len(new)), strict=True))
+        block = np.zeros((len(new), logs.shape[1]))
+        np.add.at(block, np.repeat(np.arange(len(new)), np.fromiter(map(len, runs), np.int64, len(runs))), logs[flat])
+        self.rows[first : first + len(new)] = block
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         split = [t.lower().split() for t in texts]
