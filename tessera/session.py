@@ -40,10 +40,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
+CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+
+
 def cut(df):
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut lineage with a reliable checkpoint in the shared folder.
+
+    The plan is optimised first; then constraints are switched off for the checkpoint alone, as it
+    would derive them anew from the output columns, which never ends for long expressions.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    df._jdf.queryExecution().executedPlan()
+    before = spark.conf.get(CONSTRAINTS)
+    spark.conf.set(CONSTRAINTS, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(CONSTRAINTS, before)
 
 
 def ship(spark: SparkSession) -> None:
