@@ -36,6 +36,7 @@ SIGNS = ("@", None, None, "+")
 OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})"
 BLANK = "\\x20\\x09-\\x0D"
 TOKEN = f"(?<![^{BLANK}])[^{BLANK}0-9]*+[0-9][^{BLANK}]*+"
+PLACE, PER_BLOCK = "struct<start:int,end:int,found:string,lead:string>", 128
 DIGITS, ROUNDS, SUPPORT, ACCEPT, CONTEXT = 5, 3, 3, 0.8, 48
 
 
@@ -44,8 +45,8 @@ def places(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.split(text, pattern, -1)  # one more than found
     pairs = F.filter(F.zip_with(parts, found, lambda a, b: F.struct(a.alias("lead"), b.alias("found"))), lambda x: x["found"].isNotNull())
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,found:string,lead:string>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    none = F.expr(f"cast(array() as array<{PLACE}>)")
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{PLACE}>>)").alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["lead"])
@@ -53,7 +54,14 @@ def places(text: Column, pattern: str) -> Column:
         one = F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found"), F.right(x["lead"], F.lit(CONTEXT)).alias("lead"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+    def add_block(acc: Column, i: Column) -> Column:
+        own = F.aggregate(F.slice(pairs, i, F.lit(PER_BLOCK)), F.struct(acc["at"].alias("at"), none.alias("out")), add)
+        # a transform of one element binds the block's result to a name
+        return F.element_at(F.transform(F.array(own), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out"))), 1)
+
+    # blocks, as an array that grows one by one is copied each time
+    firsts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(found)), F.lit(PER_BLOCK))
+    return F.aggregate(firsts, start, add_block, lambda acc: F.flatten(acc["out"]))
 
 
 def luhn(digits: Column) -> Column:
