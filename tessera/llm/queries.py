@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, langid, quality, secrets, simhash, toxicity
+from tessera.llm import bpe, langid, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_quality": quality.op2_quality,
+    "op5_pii": pii.op5_pii,
     "op6_bpe": bpe.op6_bpe,
     "op7_langid": langid.op7_langid,
     "op9_toxicity": toxicity.op9_toxicity,
