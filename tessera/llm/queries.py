@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, langid, pii, quality, secrets, simhash, toxicity
+from tessera.llm import bpe, decontaminate, langid, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_quality": quality.op2_quality,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_pii": pii.op5_pii,
     "op6_bpe": bpe.op6_bpe,
     "op7_langid": langid.op7_langid,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.SQL}
