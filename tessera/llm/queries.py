@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, langid, pii, quality, secrets, simhash, toxicity
+from tessera.llm import bpe, decontaminate, langid, pii, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_quality": quality.op2_quality,
+    "op3_warc": warc.op3_warc,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_pii": pii.op5_pii,
     "op6_bpe": bpe.op6_bpe,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op3_warc": warc.SQL, "op4_decontamination": decontaminate.SQL}
