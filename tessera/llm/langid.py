@@ -236,12 +236,12 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, lang_pred, score and the kept columns, for every whole text."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """id, the text if asked for, the kept columns, lang_pred and score, for every whole text."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # its size is bounded by vocabulary and languages
-    names, key = [id_col, *keep], uuid4().hex
+    names, key = [id_col, *([text_col] if with_text else []), *keep], uuid4().hex
 
     def run(batches):
         if key not in _SCORERS:
@@ -250,7 +250,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for part in slices(batch, most_bytes=2 << 20):
                 preds, scores = _SCORERS[key].predict(texts_of(part))
-                cols = [part.column(0), *(part.column(k) for k in range(2, part.num_columns)), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
+                cols = [part.column(0), *(part.column(k) for k in range(1 if with_text else 2, part.num_columns)), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)

@@ -37,7 +37,7 @@ OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})"
 BLANK = "\\x20\\x09-\\x0D"
 TOKEN = f"(?<![^{BLANK}])[^{BLANK}0-9]*+[0-9][^{BLANK}]*+"
 PLACE, PER_BLOCK = "struct<start:int,end:int,found:string,lead:string>", 128
-DIGITS, ROUNDS, SUPPORT, ACCEPT, CONTEXT = 5, 3, 3, 0.8, 48
+DIGITS, ROUNDS, SUPPORT, ACCEPT, CONTEXT, MAX_ROWS = 5, 3, 3, 0.8, 48, 100_000
 
 
 def places(text: Column, pattern: str) -> Column:
@@ -179,15 +179,22 @@ def masked(text: Column, spans_: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with personal data masked in the text; all columns kept, null texts stay null."""
-    columns = docs.columns
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row_"), *columns))
-    own = rows.withColumn("text_", F.coalesce(F.col(text_col), F.lit(""))).withColumn("spans_", base_spans(F.col("text_")))
-    found = cut(own.withColumn("instances_", instances(F.col("text_"), F.col("spans_"))).select("row_", id_col, "spans_", "instances_"))
-    got = spans(found, id_col).select("row_", "all_").filter(F.size("all_") > 0)
-    back = rows.join(got.withColumn("row_", F.col("row_")), "row_", "left")
-    text = F.when(F.col("all_").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("all_")))
-    return back.withColumn(text_col, text).select(*columns)
+    """The rows with personal data masked in the text; all columns kept, null texts stay null.
+
+    Base spans are found anew in each row's text; only spans of the bootstrap are joined to it, by id
+    and hash of the text, and broadcast while at most MAX_ROWS rows have any.
+    """
+    own = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("hash_"))
+    found = spans(marked(own, id_col, text_col, ("hash_",)), id_col, ("hash_",))
+    new = F.filter("all_", lambda s: s["kind"] == len(KINDS) - 1)
+    more = cut(found.select(F.col(id_col).alias("id_"), "hash_", new.alias("new_")).filter(F.size("new_") > 0).dropDuplicates(["id_", "hash_"]))
+    few = more.count() <= MAX_ROWS
+    rows = docs.withColumn("hash_", F.xxhash64(text_col))
+    back = rows.join(F.broadcast(more) if few else more, rows[id_col].eqNullSafe(more["id_"]) & (rows["hash_"] == more["hash_"]), "left")
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+    back = back.withColumn("spans_", F.array_sort(F.concat(base_spans(F.col(text_col)), F.coalesce("new_", none))))
+    text = F.when(F.size("spans_") > 0, masked(F.col(text_col), F.col("spans_"))).otherwise(F.col(text_col))
+    return back.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

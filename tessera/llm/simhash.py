@@ -29,6 +29,8 @@ from tessera.session import cut, ship
 
 SHINGLE, SEED, MOST, BLOCK = 4, 42, 4, 32
 MASK = (1 << 32) - 1
+#: Stands for a null id, which counts as the least.
+NULL_ID, MAX_IDS = -(2**63), 200_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -169,11 +171,28 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """id, fp (bigint) and component_id (the least id reachable) of every document; ids are bigint."""
-    fps = cut(fingerprints(docs, id_col, text_col, shingle).select(F.col(id_col).cast("bigint").alias(id_col), "fp"))
+    known = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias(id_col)
+    fps = cut(fingerprints(docs.select(known, text_col), id_col, text_col, shingle))
     nodes = cut(fps.groupBy("fp").agg(F.min(id_col).alias("rep")))
     roots = components(links(nodes))
     placed = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(fresh("fp"), F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(placed, "fp").select(id_col, "fp", "component_id")
+    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
+    return fps.join(placed, "fp").select(back(id_col), "fp", back("component_id"))
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns kept, whose id is their component's least; one row of a repeated id.
+
+    The ids that go are broadcast while there are at most MAX_IDS of them.
+    """
+    got = cut(classes(docs, id_col, text_col).select(F.coalesce(id_col, F.lit(NULL_ID)).alias("id_"), F.coalesce("component_id", F.lit(NULL_ID)).alias("root_")))
+    gone = got.filter(F.col("id_") != F.col("root_")).select("id_").distinct()
+    rows = docs.withColumn("id_", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)))
+    few = gone.count() <= MAX_IDS
+    kept = rows.join(F.broadcast(gone) if few else gone, "id_", "left_anti")
+    if got.groupBy("id_").count().filter(F.col("count") > 1).limit(1).count():
+        kept = kept.dropDuplicates(["id_"])
+    return kept.select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
