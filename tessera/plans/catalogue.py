@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.plans import colours, frames
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "colours", "frames"]
