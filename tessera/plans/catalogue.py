@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import colours, frames
+from tessera.plans import colours, frames, sequences, tables
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "colours", "frames"]
+__all__ = ["ORACLES", "QUERIES", "colours", "frames", "sequences", "tables"]
