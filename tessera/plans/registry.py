@@ -27,6 +27,8 @@ def oracle(sql: str) -> str:
         return sql
     with_ = ", ".join(f"{n} AS ({adapters.SQL[n]})" for n in used)
     body = sql.strip()
+    if re.match(r"(?i)with recursive\b", body):
+        return f"WITH RECURSIVE {with_}, {body[14:].lstrip()}"
     return f"WITH {with_}, {body[4:].lstrip()}" if re.match(r"(?i)with\b", body) else f"WITH {with_} {body}"
 
 
