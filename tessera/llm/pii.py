@@ -5,12 +5,12 @@ for the places of all matches, so a text is split at a pattern and the lengths o
 the matches are added up. The patterns are written with possessive repeats and look-behinds, which
 match the same strings, so that no text costs more than time in proportion to its length.
 
-The method: every token with at least DIGITS digits is an instance; the one and the two words before
-it (digits as 0, lower case) are its lexical patterns. Instances inside base spans are seeds. On the
+The method: base spans and all other tokens with at least DIGITS digits are instances; the one and
+the two words before one (digits as 0, lower case) are its lexical patterns. Base spans are seeds. On the
 graph of patterns and instances, ROUNDS times, a pattern's confidence is the mean score of its
 instances, if it has at least SUPPORT distinct seeds, and an instance's score is the noisy-or of its
-patterns' confidences. Instances outside base spans with a score of at least ACCEPT under a pattern
-of at least that confidence are spans of kind `ctx`.
+patterns' confidences. Tokens outside base spans with a score of at least ACCEPT under a pattern of
+at least that confidence are spans of kind `ctx`.
 
 Spans are code points, end exclusive. Null texts count as empty. Repeated rows each get their spans.
 """
@@ -96,24 +96,28 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*out))
 
 
+def instance(text: Column, start: Column, end: Column, seed: bool) -> Column:
+    """A piece of text with its lexical patterns: the one and the two words before it."""
+    lead = F.substring(text, F.greatest(F.lit(0), start - CONTEXT) + 1, F.least(F.lit(CONTEXT), start))
+    plain = F.regexp_replace(F.lower(lead), "[0-9]+", "0")
+    return F.struct(
+        start.alias("start"), end.alias("end"), F.substring(text, start + 1, end - start).alias("instance"),
+        F.regexp_extract(plain, f"([^{BLANK}]++)[{BLANK}]*+$", 1).alias("one"),
+        F.regexp_extract(plain, f"([^{BLANK}]++[{BLANK}]++[^{BLANK}]++)[{BLANK}]*+$", 1).alias("two"),
+        F.lit(seed).alias("seed"),
+    )
+
+
 def instances(text: Column, spans: Column) -> Column:
-    """Tokens with digits: (start, end, instance, one, two, seed); one and two are the lexical patterns."""
+    """Base spans as seeds, and tokens with digits outside of them."""
     none = F.expr("cast(array() as array<struct<start:int,end:int,instance:string,one:string,two:string,seed:boolean>>)")
-    kept = F.filter(places(text, TOKEN), lambda x: F.length(F.regexp_replace(x["found"], "[^0-9]", "")) >= DIGITS)
-
-    def one(x: Column) -> Column:
-        bare = F.regexp_replace(x["found"], "[.,;:!?)\"'\\]]+$", "")
-        end = x["start"] + F.length(bare)
-        lead = F.regexp_replace(F.lower(x["lead"]), "[0-9]+", "0")
-        seed = F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > x["start"]))
-        return F.struct(
-            x["start"].alias("start"), end.alias("end"), bare.alias("instance"),
-            F.regexp_extract(lead, f"([^{BLANK}]++)[{BLANK}]*+$", 1).alias("one"),
-            F.regexp_extract(lead, f"([^{BLANK}]++[{BLANK}]++[^{BLANK}]++)[{BLANK}]*+$", 1).alias("two"),
-            seed.alias("seed"),
-        )
-
-    return F.when(F.regexp_like(text, F.lit(f"[0-9](?:[^0-9{BLANK}]*+[0-9]){{{DIGITS - 1}}}")), F.transform(kept, one)).otherwise(none)
+    seeds = F.transform(spans, lambda s: instance(text, s["start"], s["end"], True))
+    enough = F.filter(places(text, TOKEN), lambda x: F.length(F.regexp_replace(x["found"], "[^0-9]", "")) >= DIGITS)
+    bare = F.transform(enough, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(F.regexp_replace(x["found"], "[.,;:!?)\"'\\]]+$", ""))).alias("end")))
+    free = F.filter(bare, lambda x: ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])))
+    tokens = F.transform(free, lambda x: instance(text, x["start"], x["end"], False))
+    may = F.regexp_like(text, F.lit(f"[0-9](?:[^0-9{BLANK}]*+[0-9]){{{DIGITS - 1}}}"))
+    return F.concat(seeds, F.when(may, tokens).otherwise(none))
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -138,7 +138,7 @@ def blocks(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     """All blocks of repeated anchors; these are broadcast if there are not too many."""
     shared = None
     if repeated.count() <= MAX_ANCHORS:
-        found = np.sort(repeated.toPandas()["anchor"].to_numpy(np.int64).view(np.uint64))
+        found = np.sort(repeated.toArrow()["anchor"].to_numpy().view(np.uint64))
         shared = rows.sparkSession.sparkContext.broadcast(found)
 
     def run(batches):
