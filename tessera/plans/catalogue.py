@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import codecs, colours, frames, sequences, tables
+from tessera.plans import codecs, colours, folds, frames, sequences, tables
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "codecs", "colours", "frames", "sequences", "tables"]
+__all__ = ["ORACLES", "QUERIES", "codecs", "colours", "folds", "frames", "sequences", "tables"]
