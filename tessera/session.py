@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -60,6 +61,19 @@ def cut(df):
         spark.conf.set(CONSTRAINTS, before)
 
 
+def written(df):
+    """Cut lineage with a table in the shared folder, smaller than a checkpoint; and a call to drop it."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    return spark.read.parquet(path), drop
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, unless their PYTHONPATH already reaches it."""
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
