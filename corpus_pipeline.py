@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, langid, pii, simhash
-from tessera.llm.common import crc_mod, table
+from tessera.llm.common import crc_mod, free, table
 from tessera.session import checkpoint_dir
 
 
@@ -20,8 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language; texts that are null or have no letter go."""
     model = langid.fit(docs.filter(crc_mod() != 0), langid.default_vocabulary())
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    told = langid.predict(docs, model, keep=others, with_text=True)
-    return told.filter(F.col("lang_pred") != "und").select(*docs.columns)
+    out = free("lang_pred", docs.columns), free("score", docs.columns)
+    told = langid.predict(docs, model, keep=others, with_text=True, out=out)
+    return told.filter(F.col(out[0]) != "und").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,14 @@ def sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, with underscores until no column has it in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, text_index: int = 1, most_bytes: int = 4 << 20):
     """Sub-batches of about most_bytes of text (one long text may exceed it alone)."""
     col = batch.column(text_index)

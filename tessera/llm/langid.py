@@ -236,8 +236,8 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """id, the text if asked for, the kept columns, lang_pred and score, for every whole text."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """id, the text if asked for, the kept columns, lang_pred and score (or the names in out), for every whole text."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # its size is bounded by vocabulary and languages
@@ -251,10 +251,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for part in slices(batch, most_bytes=2 << 20):
                 preds, scores = _SCORERS[key].predict(texts_of(part))
                 cols = [part.column(0), *(part.column(k) for k in range(1 if with_text else 2, part.num_columns)), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, *out])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(id_col, text_col, *keep).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, f"{schema}, `{out[0]}` string, `{out[1]}` double")
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

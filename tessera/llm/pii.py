@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import free, table
 from tessera.session import cut
 
 KINDS = ("email", "ip", "card", "phone", "ctx")
@@ -191,13 +191,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     own = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("hash_"))
     found = spans(marked(own, id_col, text_col, ("hash_",)), id_col, ("hash_",))
     new = F.filter("all_", lambda s: s["kind"] == len(KINDS) - 1)
-    more = cut(found.select(F.col(id_col).alias("id_"), "hash_", new.alias("new_")).filter(F.size("new_") > 0).dropDuplicates(["id_", "hash_"]))
+    id_, hash_, new_, spans_ = (free(n, docs.columns) for n in ("id_", "hash_", "new_", "spans_"))
+    more = cut(found.select(F.col(id_col).alias(id_), F.col("hash_").alias(hash_), new.alias(new_)).filter(F.size(new_) > 0).dropDuplicates([id_, hash_]))
     few = more.count() <= MAX_ROWS
-    rows = docs.withColumn("hash_", F.xxhash64(text_col))
-    back = rows.join(F.broadcast(more) if few else more, rows[id_col].eqNullSafe(more["id_"]) & (rows["hash_"] == more["hash_"]), "left")
+    mine = free("row_hash_", docs.columns)
+    rows = docs.withColumn(mine, F.xxhash64(text_col))
+    back = rows.join(F.broadcast(more) if few else more, rows[id_col].eqNullSafe(more[id_]) & (rows[mine] == more[hash_]), "left")
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    back = back.withColumn("spans_", F.array_sort(F.concat(base_spans(F.col(text_col)), F.coalesce("new_", none))))
-    text = F.when(F.size("spans_") > 0, masked(F.col(text_col), F.col("spans_"))).otherwise(F.col(text_col))
+    back = back.withColumn(spans_, F.array_sort(F.concat(base_spans(F.col(text_col)), F.coalesce(new_, none))))
+    text = F.when(F.size(spans_) > 0, masked(F.col(text_col), F.col(spans_))).otherwise(F.col(text_col))
     return back.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 

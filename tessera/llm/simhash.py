@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_of, slices, table
+from tessera.llm.common import bytes_of, free, slices, table
 from tessera.llm.components import components, fresh
 from tessera.session import cut, ship
 
@@ -185,13 +185,14 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The ids that go are broadcast while there are at most MAX_IDS of them.
     """
-    got = cut(classes(docs, id_col, text_col).select(F.coalesce(id_col, F.lit(NULL_ID)).alias("id_"), F.coalesce("component_id", F.lit(NULL_ID)).alias("root_")))
-    gone = got.filter(F.col("id_") != F.col("root_")).select("id_").distinct()
-    rows = docs.withColumn("id_", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)))
+    key = free("id_", docs.columns)
+    got = cut(classes(docs, id_col, text_col).select(F.coalesce(id_col, F.lit(NULL_ID)).alias(key), F.coalesce("component_id", F.lit(NULL_ID)).alias("root_")))
+    gone = got.filter(F.col(key) != F.col("root_")).select(key).distinct()
+    rows = docs.withColumn(key, F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)))
     few = gone.count() <= MAX_IDS
-    kept = rows.join(F.broadcast(gone) if few else gone, "id_", "left_anti")
-    if got.groupBy("id_").count().filter(F.col("count") > 1).limit(1).count():
-        kept = kept.dropDuplicates(["id_"])
+    kept = rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
+    if got.groupBy(key).count().filter(F.col("count") > 1).limit(1).count():
+        kept = kept.dropDuplicates([key])
     return kept.select(*docs.columns)
 
 

@@ -52,5 +52,6 @@ def test_bootstrap_finds_what_the_patterns_miss(spark):
 def test_redact_keeps_rows_and_columns(docs):
     got = pii.redact(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
+    assert {x["spans_"] for x in got.collect()} == {"y"}  # a column of the same name as one used inside
     texts = [x["text"] for x in got.collect()]
     assert None in texts and any(t and "<EMAIL>" in t and "me@site.org" not in t for t in texts)
