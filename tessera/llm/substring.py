@@ -5,10 +5,10 @@ equal ones the first): equal windows have equal anchors at equal offsets. Consec
 document with one anchor are a block. Then:
 
 1. anchors are counted over all documents; windows of anchors that occur once can't repeat;
-2. blocks of the other anchors are emitted with the hashes of their windows;
+2. blocks of the other anchors are emitted;
 3. equal blocks are grouped; all windows of a block but its first occurrence's are covered;
-4. among first occurrences, of anchors with two or more distinct blocks alone, equal windows are
-   grouped; all but the first are covered. An earliest window always is in a first occurrence, as a
+4. among first occurrences, of anchors with two or more distinct blocks alone, the windows are emitted
+   and equal ones grouped; all but the first are covered. An earliest window always is in a first occurrence, as a
    later block of the same words has the same windows;
 5. the covered windows of a document meet its text, and its other words are kept.
 
@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bytes_of, slices, table
 from tessera.llm.components import fresh
-from tessera.session import cut, ship
+from tessera.session import cut, ship, written
 
 WINDOW, GRAM = 20, 8
-#: Repeated anchors that are broadcast at most, and covered places; beyond, joins are shuffled.
-MAX_ANCHORS, MAX_PLACES = 6_000_000, 1_000_000
+#: Anchors that are broadcast at most, and numbers that stand for covered runs; beyond, joins are shuffled.
+MAX_ANCHORS, MAX_PLACES = 6_000_000, 1_500_000
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
 
@@ -93,7 +93,7 @@ class Windows:
         changed = np.r_[True, self.at[1:] != self.at[:-1]] if len(self.at) else np.zeros(0, bool)
         return np.unique(self.anchor[changed], return_counts=True)
 
-    def blocks(self, repeated: np.ndarray | None):
+    def blocks(self, repeated: np.ndarray | None, with_windows: bool):
         """anchor, block hash, document, first window's place in it, windows, flat window hashes."""
         if not len(self.at):
             return (np.zeros(0, np.int64),) * 6
@@ -106,7 +106,7 @@ class Windows:
             begin, width = begin[kept], width[kept]
         starts = self.start[begin]
         doc = self.doc[begin]
-        flat = np.repeat(begin - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+        flat = np.repeat(begin - (np.cumsum(width) - width), width) + np.arange(int(width.sum())) if with_windows else begin[:0]
         return self.anchor[begin], self.hashes(starts, width + (WINDOW - 1)), doc, starts - self.first[doc], width, self.hashes(self.start[flat], WINDOW)
 
 
@@ -131,41 +131,70 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
     return counted.filter(F.col("n") > 1).select("anchor")
 
 
-BLOCK = "anchor bigint, block bigint, doc bigint, start bigint, width bigint, windows array<bigint>"
+BLOCK = "anchor bigint, block bigint, doc bigint, start int, width int"
 
 
-def blocks(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """All blocks of repeated anchors; these are broadcast if there are not too many."""
+def blocks(rows: DataFrame, wanted: DataFrame, with_windows: bool = False) -> DataFrame:
+    """All blocks of the wanted anchors, which are broadcast if there are not too many."""
     shared = None
-    if repeated.count() <= MAX_ANCHORS:
-        found = np.sort(repeated.toArrow()["anchor"].to_numpy().view(np.uint64))
+    if wanted.count() <= MAX_ANCHORS:
+        found = np.sort(wanted.toArrow()["anchor"].to_numpy().view(np.uint64))
         shared = rows.sparkSession.sparkContext.broadcast(found)
+    schema = BLOCK + ", windows array<bigint>" * with_windows
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                a, b, doc, start, width, flat = Windows(bytes_of(part)).blocks(shared.value if shared else None)
+                a, b, doc, start, width, flat = Windows(bytes_of(part)).blocks(shared.value if shared else None, with_windows)
                 ids = part.column(0).to_numpy(zero_copy_only=False)[doc] if len(doc) else np.zeros(0, np.int64)
-                ends = pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([signed(a), signed(b), pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(width, pa.int64()), pa.ListArray.from_arrays(ends, signed(flat))], names=[x.split()[0] for x in BLOCK.split(", ")])
+                cols = [signed(a), signed(b), pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array(width, pa.int32())]
+                if with_windows:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32()), signed(flat)))
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
-    out = rows.mapInArrow(run, BLOCK)
-    return out if shared else out.join(repeated.select(fresh("anchor")), "anchor", "left_semi")
+    out = rows.mapInArrow(run, schema)
+    return out if shared else out.join(wanted.select(fresh("anchor")), "anchor", "left_semi")
 
 
 def covered(rows: DataFrame) -> DataFrame:
     """(doc, start, width): runs of windows that also start earlier."""
-    found = cut(blocks(rows, cut(repeated_anchors(rows))))
-    firsts = found.groupBy("anchor", "block", "width").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"), F.min_by("windows", F.struct("doc", "start")).alias("windows"))
-    firsts = cut(firsts)
+    place = F.struct("doc", "start")
+    found, drop = written(blocks(rows, cut(repeated_anchors(rows))))
+    firsts = found.groupBy("anchor", "block", "width").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    firsts, drop_firsts = written(firsts)
     again = firsts.filter(F.col("n") > 1).select(fresh("anchor"), fresh("block"), "width", "first")
-    later = found.select("anchor", "block", "doc", "start", "width").join(again, ["anchor", "block", "width"]).filter(F.struct("doc", "start") > F.col("first")).select("doc", "start", "width")
-    mixed_ = firsts.groupBy("anchor").agg(F.count("*").alias("blocks")).filter(F.col("blocks") > 1).select(fresh("anchor"))
-    some = firsts.select("anchor", "first", "windows").join(mixed_, "anchor").select("anchor", "first", F.posexplode("windows").alias("k", "window"))
-    each = some.select("anchor", "window", F.col("first.doc").alias("doc"), (F.col("first.start") + F.col("k")).alias("start"))
-    least = each.groupBy("anchor", "window").agg(F.min(F.struct("doc", "start")).alias("least"), F.count("*").alias("n")).filter(F.col("n") > 1)
-    edge = each.join(least.select(fresh("anchor"), fresh("window"), "least"), ["anchor", "window"]).filter(F.struct("doc", "start") > F.col("least"))
-    return later.unionByName(edge.select("doc", "start", F.lit(1).cast("bigint").alias("width")))
+    later = found.join(again, ["anchor", "block", "width"]).filter(place > F.col("first")).select("doc", "start", "width")
+    several = cut(firsts.groupBy("anchor").agg(F.count("*").alias("blocks")).filter(F.col("blocks") > 1).select("anchor"))
+    one = firsts.select(F.col("first.doc").alias("doc"), F.col("first.start").alias("start"))
+    some = blocks(rows, several, with_windows=True).join(one, ["doc", "start"], "left_semi").select("anchor", "doc", "start", F.posexplode("windows").alias("k", "window"))
+    each, drop_each = written(some.select("anchor", "window", "doc", (F.col("start") + F.col("k")).alias("start")))
+    least = each.groupBy("anchor", "window").agg(F.min(place).alias("least"), F.count("*").alias("n")).filter(F.col("n") > 1)
+    edge = each.join(least.select(fresh("anchor"), fresh("window"), "least"), ["anchor", "window"]).filter(place > F.col("least"))
+    runs = cut(merged(later.unionByName(edge.select("doc", "start", F.lit(1).alias("width")))))
+    for end in (drop, drop_firsts, drop_each):
+        end()
+    return runs
+
+
+def merged(places: DataFrame) -> DataFrame:
+    """(doc, starts, widths): the runs of each document, joined where they touch. A document has at
+    most as many runs as it has words."""
+    empty = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
+    zero = F.struct(F.lit(-2).alias("start"), F.lit(-2).alias("stop"), empty.alias("out"))
+    done = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["stop"].alias("stop"))))
+
+    def add(acc, x):
+        stop = x["start"] + x["width"]
+        joins = x["start"] <= acc["stop"]
+        return F.struct(
+            F.when(joins, acc["start"]).otherwise(x["start"]).alias("start"),
+            F.when(joins, F.greatest(acc["stop"], stop)).otherwise(stop).alias("stop"),
+            F.when(joins | (acc["start"] < 0), acc["out"]).otherwise(done(acc)).alias("out"),
+        )
+
+    runs = F.aggregate(F.array_sort(F.collect_list(F.struct("start", "width"))), zero, add, done)
+    grouped = places.groupBy("doc").agg(runs.alias("runs"))
+    return grouped.select("doc", F.col("runs.start").alias("starts"), F.transform("runs", lambda r: r["stop"] - r["start"]).alias("widths"))
 
 
 def keep(words: list[bytes], starts: list[int], widths: list[int]) -> list[bytes]:
@@ -182,9 +211,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     """id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by spaces."""
     ship(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    places = cut(covered(rows))
-    few = places.count() <= MAX_PLACES
-    marks = places.groupBy("doc").agg(F.collect_list(F.struct("start", "width")).alias("marks")).select("doc", F.col("marks.start").alias("starts"), F.col("marks.width").alias("widths"))
+    marks = covered(rows)
+    few = (marks.agg(F.sum(F.size("starts") + 2)).first()[0] or 0) <= MAX_PLACES
     kind = docs.schema[id_col].dataType.simpleString()
     ids = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("doc"))
     joined = ids.join(F.broadcast(marks) if few else marks, "doc", "left").select(id_col, "text", "starts", "widths")
