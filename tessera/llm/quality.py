@@ -1,12 +1,16 @@
 """Quality rules: counts of a text, and its divergence from language references.
 
 A reference of a language holds two histograms, gathered over all documents of that language:
-bytes by character class, and the share of each of its WORDS most frequent short words (all other
-words together are one more bin). A text is compared with every reference by the Jensen-Shannon
+bytes by character class, and the share of each of its WORDS most frequent words (all other words
+together are one more bin). A text is compared with every reference by the Jensen-Shannon
 distance (base 2) of each histogram, smoothed alike at all lengths, and is judged by the reference
 that is nearest. Texts shorter than MIN_CHARS characters or MIN_WORDS words are not judged by that
 histogram: short texts are far from any reference by chance.
 
+A text that holds none of a reference's words is at a distance that its share of them sets. Over
+NONE of that distance, or over MAX_WORD_JSD, a text is far from the reference; it fails if it is far
+from all.
+
 Null texts count as empty: all counts 0, base_failed, not kept. Ties and repeated rows are judged
 each for itself. With no reference the divergence is null and only the base rules decide.
 """
@@ -24,8 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bytes_of, slices, table
 from tessera.session import ship
 
-#: Words a reference, longest short word in bytes, guards, largest distances of a kept text.
-WORDS, SHORT, MIN_CHARS, MIN_WORDS, MAX_CHAR_JSD, MAX_WORD_JSD = 40, 5, 300, 60, 0.30, 0.46
+#: Words a reference, guards, largest distances of a kept text, and as a part of that of a text with no common word.
+WORDS, MIN_CHARS, MIN_WORDS, MAX_CHAR_JSD, MAX_WORD_JSD, NONE = 40, 300, 60, 0.30, 0.46, 0.97
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "symbol", "other", "lead", "tail")
 
@@ -60,12 +64,20 @@ def repeated(words: list[bytes], n: int = 5) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
+def limit(share: np.ndarray) -> float:
+    """The largest distance that is not far: below that of a text with none of the words."""
+    none = np.zeros(len(share))
+    none[-1] = 1
+    return min(MAX_WORD_JSD, NONE * float(jsd(none, share)))
+
+
 @dataclass
 class References:
     langs: list[str]
     chars: np.ndarray  # languages x classes, shares
     words: list[dict[bytes, int]]
     shares: list[np.ndarray]  # of each language's words, the last of all others
+    limits: list[float]  # the largest word distance of each that is not far
 
 
 def jsd(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -94,7 +106,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                     own = words.setdefault(g, Counter())
                     split = t.lower().split()
                     own[b""] += len(split)
-                    own.update([w for w in split if len(w) <= SHORT])
+                    own.update(split)
                 out = [(g, f"\t{CLASSES[k]}", int(n)) for g, c in chars.items() for k, n in enumerate(c[:COUNTED])]
                 out += [(g, w.decode(), n) for g, c in words.items() for w, n in c.items() if n > 1 or not w]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "bin", "n"])
@@ -114,7 +126,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         n[-1] = max(0, got[g].get("", 0) - n.sum())
         words.append({w.encode(): k for k, w in enumerate(tops)})
         shares.append(n / max(1, n.sum()))
-    return References(langs, chars / np.maximum(1, chars.sum(1, keepdims=True)), words, shares)
+    return References(langs, chars / np.maximum(1, chars.sum(1, keepdims=True)), words, shares, [limit(s) for s in shares])
 
 
 def judge(text: bytes, ref: References | None) -> tuple:
@@ -127,21 +139,23 @@ def judge(text: bytes, ref: References | None) -> tuple:
     again = repeated(words)
     failed = len(words) < 10 or 100 * again > 20 * len(words)
     char_jsd = word_jsd = None
+    strange = False
     if ref is not None and ref.langs:
         if chars >= MIN_CHARS:
             p = classes[:COUNTED] + 0.5
             char_jsd = float(jsd(p / p.sum(), ref.chars).min())
         if len(words) >= MIN_WORDS:
-            count = Counter(w for w in text.lower().split() if len(w) <= SHORT)
-            best = 1.0
-            for own, share in zip(ref.words, ref.shares, strict=True):
+            count = Counter(text.lower().split())
+            best, strange = 1.0, True
+            for own, share, most in zip(ref.words, ref.shares, ref.limits, strict=True):
                 p = np.zeros(len(share))
                 for w, k in own.items():
                     p[k] = count.get(w, 0)
                 p[-1] = len(words) - p.sum()
-                best = min(best, float(jsd(p / len(words), share)))
+                d = float(jsd(p / len(words), share))
+                best, strange = min(best, d), strange and d > most
             word_jsd = best
-    far = (char_jsd or 0) > MAX_CHAR_JSD or (word_jsd or 0) > MAX_WORD_JSD
+    far = (char_jsd or 0) > MAX_CHAR_JSD or strange
     return len(words), chars - blank, int(classes[CLASSES.index("symbol")]), len(lines) - len(set(lines)), again, failed, not failed and not far, char_jsd, word_jsd
 
 

@@ -141,6 +141,21 @@ def test_quality_tells_junk_from_prose(spark):
     assert not kept.get((1, False)) and kept.get((0, False), 0) > 0
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    r = random.Random(8)
+    made = lambda n: "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(n))
+    common = [["the", "of", "between", "through", "and"], ["\u0441\u043b\u043e\u0432\u043e", "\u043a\u043e\u0442\u043e\u0440\u044b\u0439", "\u0438", "\u0447\u0442\u043e", "\u043c\u0435\u0436\u0434\u0443"]]
+    prose = lambda own: " ".join(r.choice(own) if r.random() < 0.3 else made(7) for _ in range(200))
+    rows = [(k, prose(common[k % 2]), ["en", "ru"][k % 2]) for k in range(200)]
+    rows += [(1000, " ".join(made(7) for _ in range(200)), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    ref = quality.references(docs)
+    assert all(w.encode() in own for words, own in zip(common, ref.words, strict=True) for w in words)
+    got = {x["doc_id"]: x for x in quality.rules(docs, ref).collect()}
+    assert not got[1000]["kept"] and not got[1000]["base_failed"] and got[1000]["char_jsd"] <= quality.MAX_CHAR_JSD
+    assert all(got[k]["kept"] for k in range(200))
+
+
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_decontamination(spark, docs, empty, monkeypatch, shuffled):
     if shuffled:
