@@ -7,9 +7,11 @@ Base findings are the leftmost non-overlapping matches of three kinds:
 * hex: at least 24 lower-case hexadecimal digits.
 
 Every run of at least 16 token characters that has a letter and a digit and overlaps no base finding
-is a candidate. A convolutional network in numpy reads the candidate and its surroundings (24
-characters before it, its first 40, with a mark that tells one from the other). It is trained on
-labelled findings: those given, or a fixed set made by rule from public token formats. Its logits
+is a candidate. A convolutional network in numpy reads windows over the whole candidate and its
+surroundings: 24 characters before a window, 40 of the candidate and 24 after these, with a mark that
+tells the candidate from the rest. Windows are 20 characters apart and the last ends with the candidate; a
+candidate counts as its highest window. The network is trained on labelled findings in the same way: those
+given, or a fixed set made by rule from public token formats. Its logits
 are calibrated on a held-out part (Platt). The threshold keeps the wanted recall there and lies half-way
 down to the harmless candidates. Accepted candidates are spans of kind `cnn`.
 
@@ -38,7 +40,9 @@ KEYS = re.compile(r"(?:pass(?:word|wd)|secret|token|api_?key)[\"']?\x20*[:=]", r
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-BEFORE, INSIDE, WIDTH, FILTERS, EMBED = 24, 40, 5, 16, 8
+BEFORE, INSIDE, AFTER, STEP, WIDTH, FILTERS, EMBED = 24, 40, 24, 20, 5, 16, 8
+#: Windows held at once.
+BLOCK = 4_096
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -63,13 +67,43 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def codes(text: str, start: int, end: int) -> np.ndarray:
-    """Character codes of a candidate and what stands before it; 0 pads, inside codes are 128 higher."""
-    before = text[max(0, start - BEFORE) : start]
-    inside = text[start : min(end, start + INSIDE)]
-    out = np.zeros(BEFORE + INSIDE, np.int64)
-    out[BEFORE - len(before) : BEFORE] = [min(ord(c), 127) for c in before]
-    out[BEFORE : BEFORE + len(inside)] = [128 + min(ord(c), 127) for c in inside]
+def codes(text: str, start: int, end: int, at: int | None = None) -> np.ndarray:
+    """Character codes of a window of a candidate and of what stands around it; 0 pads, inside codes are 128 higher."""
+    at = start if at is None else at
+    first = max(0, at - BEFORE)
+    piece = text[first : min(end, at + INSIDE) + AFTER]
+    got = np.minimum(np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), 127)
+    got[max(0, start - first) : end - first] += 128
+    out = np.zeros(BEFORE + INSIDE + AFTER, np.int64)
+    lead = BEFORE - (at - first)
+    out[lead : lead + len(got)] = got
+    return out
+
+
+def starts(start: int, end: int) -> list[int]:
+    """Where the windows of a candidate begin; the last one ends with it."""
+    last = max(start, end - INSIDE)
+    return [*range(start, last, STEP), last]
+
+
+def blocks(found: list[tuple[str, int, int]]):
+    """(windows, the candidate of each) in blocks of bounded size."""
+    rows, own = [], []
+    for k, (text, a, b) in enumerate(found):
+        for at in starts(a, b):
+            rows.append(codes(text, a, b, at))
+            own.append(k)
+            if len(rows) == BLOCK:
+                yield np.array(rows), np.array(own)
+                rows, own = [], []
+    if rows:
+        yield np.array(rows), np.array(own)
+
+
+def highest(values: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """The highest value of each of n candidates."""
+    out = np.full(n, -np.inf)
+    np.maximum.at(out, own, values)
     return out
 
 
@@ -100,17 +134,30 @@ class Network:
         return 1 / (1 + np.exp(-(a * self.logits(x) + b)))
 
 
-def train(x: np.ndarray, y: np.ndarray, recall: float = 0.95, epochs: int = 12, seed: int = 7) -> Network:
-    """Adam on four fifths of the findings; calibration and threshold on the rest."""
+def train(x: np.ndarray, own: np.ndarray, y: np.ndarray, recall: float = 0.95, epochs: int = 12, seed: int = 7) -> Network:
+    """Adam on four fifths of the findings; calibration and threshold on the rest.
+
+    x holds windows, own the finding of each. Of a secret its highest window is learned, of a
+    harmless one all; secrets of several windows wait for the first two epochs.
+    """
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(x))
-    held, rest = order[: len(x) // 5], order[len(x) // 5 :]
+    order = rng.permutation(len(y))
+    held = np.zeros(len(y), bool)
+    held[order[: len(y) // 5]] = True
+    several = np.bincount(own, minlength=len(y)) > 1
     net = Network(rng.normal(0, 0.3, (256, EMBED)), rng.normal(0, 0.2, (WIDTH * EMBED, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, 2 * FILTERS), 0.0)
     state = {k: [np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))] for k in ("embed", "conv", "conv_bias", "dense", "dense_bias")}
     step = 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        learned = (y[own] == 0) | ~several[own]
+        if epoch > 1:
+            z = net.logits(x)
+            learned |= z == highest(z, own, len(y))[own]
+        rest = np.flatnonzero(learned & ~held[own])
         for part in np.array_split(rng.permutation(rest), max(1, len(rest) // 64)):
-            xb, yb = x[part], y[part]
+            if not len(part):
+                continue
+            xb, yb = x[part], y[own[part]]
             windows, z, r, h = net.hidden(xb)
             g = (1 / (1 + np.exp(-(h @ net.dense + net.dense_bias))) - yb) / len(part)
             gh = g[:, None] * net.dense
@@ -130,7 +177,7 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = 0.95, epochs: int = 12,
                 m = state[k][0] = 0.9 * m + 0.1 * grad
                 v = state[k][1] = 0.999 * v + 0.001 * grad**2
                 setattr(net, k, getattr(net, k) - 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
-    z, t = net.logits(x[held]), y[held]
+    z, t = highest(net.logits(x), own, len(y))[held], y[held]
     a, b = 1.0, 0.0
     for _ in range(200):  # Platt scaling by gradient descent
         p = 1 / (1 + np.exp(-(a * z + b)))
@@ -144,7 +191,7 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = 0.95, epochs: int = 12,
     return net
 
 
-def made_findings(n: int = 3_000, seed: int = 11) -> list[tuple[str, int, int, int]]:
+def made_findings(n: int = 3_000, seed: int = 11, deep: int = 0) -> list[tuple[str, int, int, int]]:
     """(text, start, end, label): candidates of public token formats, and of harmless ones, in context."""
     r = random.Random(seed)
     alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
@@ -181,13 +228,23 @@ def made_findings(n: int = 3_000, seed: int = 11) -> list[tuple[str, int, int, i
         text = before + body + " " + word()
         start = len(before)
         out.append((text, start, start + len(body), label))
+    heads, cores, ends = ["b", "bl", "c", "ch", "d", "f", "fl", "g", "h", "j", "k", "l", "m", "n", "p", "pr", "qu", "r", "s", "st", "t", "tr", "v", "w", "x", "y", "z", ""], ["a", "e", "i", "o", "u", "ee", "ou", "ai"], ["", "", "n", "r", "s", "l", "t", "m", "ck", "ng", "ld", "f", "p", "x"]
+    spoken = lambda: "".join(r.choice(heads) + r.choice(cores) + r.choice(ends) for _ in range(r.randint(1, 3)))
+    for k in range(deep):  # secrets at the end of long paths and names, and harmless ones as long; told by what follows
+        label = k % 2
+        parts = [r.choice([word(), spoken(), spoken(), spoken() + str(r.randint(0, 99)), spoken()[:1].upper() + "00000000"]) for _ in range(r.randint(5, 16))]
+        body = r.choice(["//", "/", ""]) + r.choice("/./-").join(parts) + r.choice("/./=") + (r.choice([secret[1], secret[2], secret[5]])() if label else f"{r.choice([word, spoken])()}{r.randint(1, 999)}")
+        before = " ".join(word() for _ in range(r.randint(0, 6))) + r.choice([" ", " see https:", " at ", ' "'])
+        after = r.choice([" is the private key", " as credential", '" (api key)', ""] if label else [" is the page", " as file", '" (see there)', ""]) + " " + " ".join(word() for _ in range(r.randint(0, 6)))
+        out.append((before + body + after, len(before), len(before) + len(body), label))
     return out
 
 
 def fit(findings: list[tuple[str, int, int, int]] | None = None, recall: float = 0.95) -> Network:
     """Train on labelled findings (text, start, end, label); a bounded list, by default the made ones."""
-    rows = findings or made_findings()
-    return train(np.array([codes(t, a, b) for t, a, b, _ in rows]), np.array([y for *_, y in rows], float), recall)
+    rows = findings or made_findings(deep=1_000)
+    x, own = (np.concatenate(part) for part in zip(*blocks([(t, a, b) for t, a, b, _ in rows]), strict=True))
+    return train(x, own, np.array([y for *_, y in rows], float), recall)
 
 
 def find(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
@@ -195,7 +252,9 @@ def find(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
     found = [base_spans(t) for t in texts]
     new = [(k, a, b) for k, t in enumerate(texts) for a, b in candidates(t, found[k])]
     if new:
-        p = net.probabilities(np.array([codes(texts[k], a, b) for k, a, b in new]))
+        p = np.full(len(new), -np.inf)
+        for x, own in blocks([(texts[k], a, b) for k, a, b in new]):
+            np.maximum.at(p, own, net.probabilities(x))
         for (k, a, b), x in zip(new, p, strict=True):
             if x >= net.threshold:
                 found[k].append((a, 3, b))

@@ -112,6 +112,22 @@ def test_secrets(docs, empty):
     assert secrets.scan(empty, net).count() == 0
 
 
+def test_secrets_are_read_to_their_end():
+    net = secrets.fit()
+    r = random.Random(21)
+    some = lambda n: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(n))
+    found = lambda t: [k for _, k, _ in secrets.find([t], net)[0]]
+    hooks = [f"see https://hooks.slack.com/services/T00000000/B00000000/{some(24)} there" for _ in range(50)]
+    paths = ["at " + "/".join(["some", "long", "folder", "of", "files"] * 12) + f"/{some(32)} now" for _ in range(50)]
+    assert sum(found(t) == [3] for t in hooks) >= 45 and sum(found(t) == [3] for t in paths) >= 45
+    plain = ["at " + "/".join(["some", "long", "folder", "of", "files"] * n) + f"/page{n} now" for n in range(3, 53)]
+    assert sum(found(t) == [3] for t in plain) <= 2
+    text = "see " + "a1" * 500 + " the text after it"
+    seen = {i for at in secrets.starts(4, 1004) for i in range(at, min(1004, at + secrets.INSIDE))}
+    assert seen == set(range(4, 1004))
+    assert (secrets.codes(text, 4, 20) != secrets.codes(text[:20] + " other words", 4, 20)).any()
+
+
 def test_quality(docs, empty):
     def plain(t):
         w = (t or "").encode().split()
