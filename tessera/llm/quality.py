@@ -9,7 +9,7 @@ histogram: short texts are far from any reference by chance.
 
 A text that holds none of a reference's words is at a distance that its share of them sets. Over
 NONE of that distance, or over MAX_WORD_JSD, a text is far from the reference; it fails if it is far
-from all.
+from all. Words are not judged against languages of under LEAST words, nor are rows of such a language.
 
 Null texts count as empty: all counts 0, base_failed, not kept. Ties and repeated rows are judged
 each for itself. With no reference the divergence is null and only the base rules decide.
@@ -30,6 +30,8 @@ from tessera.session import ship
 
 #: Words a reference, guards, largest distances of a kept text, and as a part of that of a text with no common word.
 WORDS, MIN_CHARS, MIN_WORDS, MAX_CHAR_JSD, MAX_WORD_JSD, NONE = 40, 300, 60, 0.30, 0.46, 0.97
+#: Words in all that a language needs for its words to be a reference.
+LEAST = 1_000
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "symbol", "other", "lead", "tail")
 
@@ -77,7 +79,7 @@ class References:
     chars: np.ndarray  # languages x classes, shares
     words: list[dict[bytes, int]]
     shares: list[np.ndarray]  # of each language's words, the last of all others
-    limits: list[float]  # the largest word distance of each that is not far
+    limits: list[float | None]  # the largest word distance of each that is not far; none with under LEAST words
 
 
 def jsd(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -108,14 +110,15 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                     own[b""] += len(split)
                     own.update(split)
                 out = [(g, f"\t{CLASSES[k]}", int(n)) for g, c in chars.items() for k, n in enumerate(c[:COUNTED])]
-                out += [(g, w.decode(), n) for g, c in words.items() for w, n in c.items() if n > 1 or not w]
+                out += [(g, w.decode(), n) for g, c in words.items() for w, n in c.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "bin", "n"])
 
     summed = rows.mapInArrow(gather, "lang string, bin string, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     kind = F.when(F.col("bin").startswith("\t"), 0).when(F.col("bin") == "", 0).otherwise(1)
     top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "bin")
     got: dict[str, dict[str, int]] = {}
-    for r in summed.withColumn("kind", kind).withColumn("r", F.row_number().over(top)).filter((F.col("kind") == 0) | (F.col("r") <= WORDS)).collect():
+    # of kind 0 there are fewer than WORDS, and a limit on the rank alone lets each task drop the rest before the sort
+    for r in summed.withColumn("kind", kind).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= WORDS).collect():
         got.setdefault(r["lang"], {})[r["bin"]] = r["n"]
     langs = sorted(got)
     chars = np.array([[got[g].get(f"\t{c}", 0) for c in CLASSES[:COUNTED]] for g in langs], float).reshape(len(langs), COUNTED)
@@ -126,10 +129,10 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         n[-1] = max(0, got[g].get("", 0) - n.sum())
         words.append({w.encode(): k for k, w in enumerate(tops)})
         shares.append(n / max(1, n.sum()))
-    return References(langs, chars / np.maximum(1, chars.sum(1, keepdims=True)), words, shares, [limit(s) for s in shares])
+    return References(langs, chars / np.maximum(1, chars.sum(1, keepdims=True)), words, shares, [limit(s) if got[g].get("", 0) >= LEAST else None for g, s in zip(langs, shares, strict=True)])
 
 
-def judge(text: bytes, ref: References | None) -> tuple:
+def judge(text: bytes, ref: References | None, lang: str | None = None) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_jsd, word_jsd."""
     words = text.split()
     classes = class_counts(text)
@@ -144,10 +147,12 @@ def judge(text: bytes, ref: References | None) -> tuple:
         if chars >= MIN_CHARS:
             p = classes[:COUNTED] + 0.5
             char_jsd = float(jsd(p / p.sum(), ref.chars).min())
-        if len(words) >= MIN_WORDS:
+        judges = [x for x in zip(ref.words, ref.shares, ref.limits, strict=True) if x[2] is not None]
+        known = lang is None or lang not in ref.langs or ref.limits[ref.langs.index(lang)] is not None
+        if len(words) >= MIN_WORDS and judges and known:
             count = Counter(text.lower().split())
             best, strange = 1.0, True
-            for own, share, most in zip(ref.words, ref.shares, ref.limits, strict=True):
+            for own, share, most in judges:
                 p = np.zeros(len(share))
                 for w, k in own.items():
                     p[k] = count.get(w, 0)
@@ -163,7 +168,7 @@ OUT = (("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"),
 ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
-def rules(docs: DataFrame, ref: References | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rules(docs: DataFrame, ref: References | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, the counts, base_failed, kept and the distances of every whole text."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ref)  # WORDS + classes numbers a language
@@ -171,11 +176,12 @@ def rules(docs: DataFrame, ref: References | None, id_col: str = "doc_id", text_
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                got = [judge(t, shared.value) for t in bytes_of(part)]
+                got = [judge(t, shared.value, g) for t, g in zip(bytes_of(part), part.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([g[k] for g in got], ARROW[t]) for k, (_, t) in enumerate(OUT))], names=[id_col, *(n for n, _ in OUT)])
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in OUT)
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
+    return docs.select(id_col, text_col, lang.alias("lang")).mapInArrow(run, schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,22 @@ def test_quality_rejects_texts_without_common_words(spark):
     assert all(got[k]["kept"] for k in range(200))
 
 
+def test_quality_references_count_words_seen_once(spark):
+    r = random.Random(12)
+    made = lambda n: "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(n))
+    rows = [(k, " ".join(r.choice(["the", "of", "and"]) if r.random() < 0.3 else made(7) for _ in range(100)), "en") for k in range(100)]
+    rare = [f"wort{k}" for k in range(40)]
+    rows += [(200 + k, " ".join(rare), "ra") for k in range(30)]  # each word once a text
+    rows += [(300, "only a few words", "xx"), (400, " ".join(made(7) for _ in range(100)), None), (500, " ".join(made(7) for _ in range(100)), "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = (quality.references(docs.repartition(n)) for n in (1, 140))
+    assert one.langs == many.langs and one.words == many.words and all((a == b).all() for a, b in zip(one.shares, many.shares, strict=True))
+    assert set(many.words[many.langs.index("ra")]) == {w.encode() for w in rare}
+    got = {x["doc_id"]: x for x in quality.rules(docs, many).collect()}
+    assert not got[400]["kept"] and got[400]["word_jsd"] > 0.3 and got[200]["kept"]
+    assert got[500]["word_jsd"] is None  # its language has too few words
+
+
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_decontamination(spark, docs, empty, monkeypatch, shuffled):
     if shuffled:
