@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import free, table
 from tessera.session import cut
 
 SHINGLE, LEAST_NUM, LEAST_DEN, MAX_BROADCAST, MAX_IDS = 5, 4, 5, 1_000_000, 200_000
@@ -84,11 +84,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns kept, of documents that contain no item."""
-    found = leaks(docs, benchmark, id_col, text_col).select(id_col).distinct()
+    """The rows, all columns kept, whose text contains no item; by digests of the texts, as ids may be null or repeated."""
+    key = free("key_", docs.columns)
+    rows = docs.withColumn(key, F.md5(F.col(text_col).cast("binary")))
+    found = leaks(rows, benchmark, key, text_col).select(key).distinct()
     found = cut(found)
     few = found.count() <= MAX_IDS
-    return docs.join(F.broadcast(found) if few else found, id_col, "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(found) if few else found, key, "left_anti").select(*docs.columns)
 
 
 SQL = """

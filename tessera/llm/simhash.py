@@ -169,26 +169,36 @@ def links(nodes: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint")
 
 
+def placed(fps: DataFrame, key: str) -> DataFrame:
+    """(fp, least) of each fingerprint; least is the least key of its component. Keys don't link fingerprints."""
+    nodes = cut(fps.groupBy("fp").agg(F.min(key).alias("rep")))
+    roots = components(links(nodes.select("fp", F.col("fp").alias("rep"))))
+    linked = cut(nodes.join(roots, nodes["fp"] == roots["node"]).select("node", "root", "rep"))
+    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
+    told = linked.select("node", fresh("root")).join(least, "root").select("node", "least")
+    return nodes.join(told, nodes["fp"] == told["node"], "left").select(fresh("fp"), F.coalesce("least", "rep").alias("least"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """id, fp (bigint) and component_id (the least id reachable) of every document; ids are bigint."""
     known = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias(id_col)
     fps = cut(fingerprints(docs.select(known, text_col), id_col, text_col, shingle))
-    nodes = cut(fps.groupBy("fp").agg(F.min(id_col).alias("rep")))
-    roots = components(links(nodes))
-    placed = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(fresh("fp"), F.coalesce("root", "rep").alias("component_id"))
-    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return fps.join(placed, "fp").select(back(id_col), "fp", back("component_id"))
+    back = lambda c, name: F.when(F.col(c) != NULL_ID, F.col(c)).alias(name)
+    return fps.join(placed(fps, id_col), "fp").select(back(id_col, id_col), "fp", back("least", "component_id"))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns kept, whose id is their component's least; one row of a repeated id.
+    """Of each component one row, all columns kept: that of the least id, of equal ids that of the least digest.
 
-    The ids that go are broadcast while there are at most MAX_IDS of them.
+    A row's key is its id and a digest of its text, so that rows without an id or with a repeated one
+    go only for a near duplicate. The keys that go are broadcast while there are at most MAX_IDS.
     """
     key = free("id_", docs.columns)
-    got = cut(classes(docs, id_col, text_col).select(F.coalesce(id_col, F.lit(NULL_ID)).alias(key), F.coalesce("component_id", F.lit(NULL_ID)).alias("root_")))
-    gone = got.filter(F.col(key) != F.col("root_")).select(key).distinct()
-    rows = docs.withColumn(key, F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)))
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    rows = docs.withColumn(key, F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("id"), F.coalesce(digest, F.lit(b"")).alias("digest")))
+    fps = cut(fingerprints(rows.select(key, text_col), key, text_col))
+    got = cut(fps.join(placed(fps, key), "fp").select(key, "least"))
+    gone = got.filter(F.col(key) != F.col("least")).select(key).distinct()
     few = gone.count() <= MAX_IDS
     kept = rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
     if got.groupBy(key).count().filter(F.col("count") > 1).limit(1).count():

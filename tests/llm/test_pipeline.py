@@ -1,5 +1,9 @@
+import random
+
 import corpus_pipeline
 
+from tessera.llm import decontaminate, simhash
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -25,3 +29,19 @@ def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert 0.6 * n < got.count() < n
+
+
+def test_rows_without_an_own_id_go_for_their_text_alone(spark):
+    r = random.Random(17)
+    made = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    texts, item = [made(60) for _ in range(8)], made(30)
+    leak = made(20) + " " + item
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[4]), (9, texts[4]), (5, texts[5]), (6, texts[5]), (6, texts[5]), (10, texts[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = simhash.first_of_each(docs)
+    assert kept.columns == docs.columns and sorted(x["text"] for x in kept.collect()) == sorted(texts[:6])
+    assert {x["doc_id"] for x in kept.collect() if x["text"] == texts[5]} == {5}
+    rows = [(None, texts[0]), (None, leak), (3, leak), (3, texts[6]), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {x["text"] for x in decontaminate.clean(docs, bench).collect()} == {texts[0], texts[6], None}
