@@ -1,13 +1,13 @@
 """Language identification by segmentation-marginalised unigrams.
 
-The pieces are a fixed public vocabulary. Each language has a probability for each piece, fitted by
-expectation maximisation on word counts of a bounded sample of labelled documents. The likelihood of
-a word is the sum over all its segmentations into pieces (forward algorithm), that of a text the
-product over its words. Words are runs of letters in lower case, led by the vocabulary's word mark;
-runs of over 24 letters are scored in parts of 24, so whole texts count.
+The pieces are all letter pieces of a fixed public vocabulary. Each language has a probability for
+each piece, fitted by expectation maximisation on the counts of all words of a bounded sample of
+labelled documents. The likelihood of a word is the sum over all its segmentations into pieces
+(forward algorithm), that of a text the product over its words. Words are runs of letters of any
+length in lower case, led by the vocabulary's word mark. A letter without a piece has probability FLOOR.
 
 Null texts and texts without a letter are `und` with score 0, as are all texts if nothing was
-learned. Ties go to the language that sorts first.
+learned. Ties go to the language that sorts first. Repeated rows are each told by their own text.
 """
 
 from __future__ import annotations
@@ -18,17 +18,19 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_mod, slices, table, texts_of
 from tessera.session import ship
 
 MARK = "▁"
-LETTERS = regex.compile(r"\p{L}{1,24}")
-#: Parameters of the fit: about so many documents and words a language, longest piece, EM rounds.
-DOCS_PER_LANGUAGE, WORDS_PER_LANGUAGE, LONGEST, ROUNDS = 300, 8_000, 6, 2
+LETTERS = regex.compile(r"\p{L}+")
+#: Parameters of the fit: about so many documents a language, EM rounds.
+DOCS_PER_LANGUAGE, ROUNDS = 300, 2
 FLOOR = 1e-7
+#: Words of one length are taken together in lattices of at most so many letters; longer words go by one.
+TOGETHER, LONG = 400_000, 40
 
 
 @dataclass
@@ -39,12 +41,12 @@ class Model:
 
 
 def public_pieces(path: str) -> list[str]:
-    """Lower-case pieces of letters of a sentencepiece vocabulary, at most LONGEST long."""
+    """Lower-case pieces of letters of a sentencepiece vocabulary, with or without the word mark."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
-    return [p for p in found if p == p.lower() and len(p) <= LONGEST and (p == MARK or p.removeprefix(MARK).isalpha())]
+    return [p for p in found if p == p.lower() and (p == MARK or p.removeprefix(MARK).isalpha())]
 
 
 def default_vocabulary() -> str:
@@ -60,6 +62,7 @@ class Places:
 
     def __init__(self, pieces: dict[str, int]):
         self.none = len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
         keys = np.array([self.hashed(p) for p in pieces], np.uint64)
         assert len(set(keys.tolist())) == len(keys)
         self.shift = np.uint64(64 - max(8, (8 * max(1, len(keys))).bit_length()))
@@ -92,23 +95,38 @@ class Places:
         return out
 
 
-def lattice(words: list[str], places: Places) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: the places of the words, and for each word, start and piece length the piece's row."""
+def grid_of(codes: np.ndarray, places: Places) -> np.ndarray:
+    """For each word, start and piece length the row of the piece; codes are words x letters."""
+    words, n = codes.shape
+    grid = np.full((words, n, min(places.longest, n)), places.none, np.int32)
+    h = np.zeros((words, n), np.uint64)
+    for m in range(1, grid.shape[2] + 1):
+        h = (h[:, : n - m + 1] + codes[:, m - 1 :]) * Places.BASE
+        grid[:, : n - m + 1, m - 1] = places.find(h)
+    grid[:, :, 0][grid[:, :, 0] == places.none] = places.none - 1
+    return grid
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def lattice(words: list[str], places: Places):
+    """(places of the words, their grid), words of one length together."""
     by: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         by.setdefault(len(w) + 1, []).append(k)
-    out = {}
     for n, ks in by.items():
-        codes = np.frombuffer("".join(MARK + words[k] for k in ks).encode("utf-32-le"), np.uint32).reshape(len(ks), n).astype(np.uint64) + np.uint64(1)
-        grid = np.full((len(ks), n, LONGEST), places.none, np.int32)
-        h = np.zeros((len(ks), n), np.uint64)
-        for m in range(1, min(LONGEST, n) + 1):
-            h = (h[:, : n - m + 1] + codes[:, m - 1 :]) * Places.BASE
-            grid[:, : n - m + 1, m - 1] = places.find(h)
-        unknown = grid[:, :, 0] == places.none
-        grid[:, :, 0][unknown] = places.none - 1
-        out[n] = np.array(ks), grid
-    return out
+        most = max(1, TOGETHER // n)
+        for first in range(0, len(ks), most):
+            some = ks[first : first + most]
+            yield np.array(some), grid_of(codes_of("".join(MARK + words[k] for k in some)).reshape(len(some), n), places)
+
+
+def edges_at(grid: np.ndarray, i: int, none: int):
+    """(word, piece length, row) of the pieces that start at place i."""
+    w, m = np.nonzero(grid[:, i] != none)
+    return w, m + 1, grid[w, i, m]
 
 
 def forward(grid: np.ndarray, probs: np.ndarray) -> np.ndarray:
@@ -117,48 +135,74 @@ def forward(grid: np.ndarray, probs: np.ndarray) -> np.ndarray:
     alpha = np.zeros((words, n + 1, probs.shape[1]))
     alpha[:, 0] = 1
     for i in range(n):
-        for m in range(1, min(LONGEST, n - i) + 1):
-            alpha[:, i + m] += alpha[:, i] * probs[grid[:, i, m - 1]]
+        w, m, rows = edges_at(grid, i, len(probs) - 1)
+        alpha[w, i + m] += alpha[w, i] * probs[rows]  # of one start, no two pieces end at one place
     return alpha
 
 
+def log_sum(word: str, probs: np.ndarray, places: Places) -> np.ndarray:
+    """Log of the sum over all segmentations of a long word, by language, scaled at each letter."""
+    codes, deep = codes_of(MARK + word), places.longest
+    ahead = np.zeros((deep + 1, probs.shape[1]))  # sums of the prefixes that end at this and the next places
+    ahead[0] = 1
+    total = np.zeros(probs.shape[1])
+    for first in range(0, len(codes), TOGETHER):
+        some = codes[first : first + TOGETHER + deep - 1]
+        for row in grid_of(some[None], places)[0][:TOGETHER]:
+            m = np.flatnonzero(row != len(probs) - 1)
+            ahead[m + 1] += ahead[0] * probs[row[m]]
+            scale = np.maximum(ahead[1], 1e-300)
+            total += np.log(scale)
+            ahead[:-1] = ahead[1:] / scale
+            ahead[-1] = 0
+    return total
+
+
+def log_likelihoods(words: list[str], probs: np.ndarray, places: Places) -> np.ndarray:
+    """Words x languages."""
+    out = np.zeros((len(words), probs.shape[1]))
+    short = [k for k, w in enumerate(words) if len(w) <= LONG]
+    for ks, grid in lattice([words[k] for k in short], places):
+        out[np.array(short)[ks]] = np.log(np.maximum(forward(grid, probs)[:, -1], 1e-300))
+    for k, w in enumerate(words):
+        if len(w) > LONG:
+            out[k] = log_sum(w, probs, places)
+    return out
+
+
 def fit_counts(langs: list[str], counts: dict[str, dict[str, int]], vocabulary: list[str]) -> Model:
-    """EM over words with their counts in each language."""
-    words = sorted({w for c in counts.values() for w in c})
+    """EM over words with their counts in each language. Words of over LONG letters are scored, not fitted."""
+    words = sorted({w for c in counts.values() for w in c if len(w) <= LONG})
     weight = np.array([[counts.get(g, {}).get(w, 0) for g in langs] for w in words], float).reshape(len(words), len(langs))
-    known = set(vocabulary)
-    used = sorted({x for w in words for i in range(len(w) + 1) for m in range(1, LONGEST + 1) if (x := (MARK + w)[i : i + m]) in known})
-    pieces = {p: k for k, p in enumerate(used)}
-    grids = lattice(words, Places(pieces))
+    pieces = {p: k for k, p in enumerate(sorted(set(vocabulary)))}
+    places = Places(pieces)
     rows = len(pieces) + 2
     probs = np.full((rows, len(langs)), 1 / max(1, len(pieces)))
     for _ in range(ROUNDS):
         probs[-2], probs[-1] = FLOOR, 0
         hits = np.full((rows, len(langs)), 0.1)
-        for n, (ks, grid) in grids.items():
+        for ks, grid in lattice(words, places):
+            n = grid.shape[1]
             alpha = forward(grid, probs)
             beta = np.zeros_like(alpha)
             beta[:, n] = 1
-            for i in range(n - 1, -1, -1):
-                for m in range(1, min(LONGEST, n - i) + 1):
-                    beta[:, i] += beta[:, i + m] * probs[grid[:, i, m - 1]]
             scale = weight[ks] / np.maximum(alpha[:, n], 1e-300)
-            for i in range(n):
-                for m in range(1, min(LONGEST, n - i) + 1):
-                    rowids = grid[:, i, m - 1]
-                    got = alpha[:, i] * probs[rowids] * beta[:, i + m] * scale
-                    for g in range(len(langs)):
-                        hits[:, g] += np.bincount(rowids, got[:, g], rows)
+            for i in range(n - 1, -1, -1):
+                w, m, rowids = edges_at(grid, i, rows - 1)
+                part = beta[w, i + m] * probs[rowids]
+                for g in range(len(langs)):
+                    beta[:, i, g] = np.bincount(w, part[:, g], len(ks))
+                    hits[:, g] += np.bincount(rowids, alpha[w, i, g] * part[:, g] * scale[w, g], rows)
         hits[-2:] = 0
         probs = hits / hits.sum(0, keepdims=True)
     probs[-2], probs[-1] = FLOOR, 0
     return Model(langs, pieces, probs)
 
 
-def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, words_per_language: int = WORDS_PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """Fit on labelled rows: about docs_per_language of each, those with the smallest hash of the id.
 
-    Only the word counts of the sample, at most words_per_language a language, reach the driver.
+    Only the word counts of this sample reach the driver.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -181,9 +225,8 @@ def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(tally.values()), pa.int64())], names=["lang", "word", "n"])
 
     summed = sample.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     counts: dict[str, dict[str, int]] = {}
-    for r in summed.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= words_per_language).collect():
+    for r in summed.filter(F.length("word") <= LONG).toLocalIterator():
         counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
     return fit_counts(langs, counts, public_pieces(vocabulary))
 
@@ -208,8 +251,7 @@ class Scorer:
         words = list(at)
         logs = np.zeros((len(words), len(self.model.langs) + 1))
         logs[:, -1] = np.fromiter(map(len, words), float, len(words))
-        for n, (ks, grid) in lattice(words, self.lookup).items():
-            logs[ks, :-1] = np.log(np.maximum(forward(grid, self.model.probs)[:, n], 1e-300))
+        logs[:, :-1] = log_likelihoods(words, self.model.probs, self.lookup)
         first = len(self.places)
         self.places.update(zip(new, range(first, first + len(new)), strict=True))
         block = np.zeros((len(new), logs.shape[1]))

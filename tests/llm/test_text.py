@@ -56,14 +56,54 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
 
 
-def test_forward_sums_all_segmentations():
-    pieces = {"a": 0, "b": 1, "ab": 2, langid.MARK: 3, langid.MARK + "a": 4}
+def plain_log_sum(word, model, lang):
+    """Over all segmentations, by recursion on the first piece; in exact fractions of the probabilities."""
+    import math
+    from fractions import Fraction
+    from functools import cache
+
+    g = model.langs.index(lang)
+    text = langid.MARK + word
+
+    @cache
+    def rest(i):
+        if i == len(text):
+            return Fraction(1)
+        out = Fraction(0) if text[i] in model.pieces else Fraction(langid.FLOOR) * rest(i + 1)
+        return out + sum(Fraction(float(model.probs[model.pieces[text[i:j]], g])) * rest(j) for j in range(i + 1, len(text) + 1) if text[i:j] in model.pieces)
+
+    x = rest(0)
+    return math.log(x.numerator) - math.log(x.denominator)
+
+
+def test_language_sums_all_segmentations():
+    import math
+
     import numpy as np
 
-    probs = np.array([[0.1], [0.2], [0.3], [0.25], [0.15], [langid.FLOOR], [0.0]])
-    ((ks, grid),) = langid.lattice(["ab"], langid.Places(pieces)).values()
-    want = 0.25 * 0.1 * 0.2 + 0.25 * 0.3 + 0.15 * 0.2
-    assert langid.forward(grid, probs)[0, -1, 0] == pytest.approx(want)
+    r = random.Random(6)
+    made = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    vocabulary = langid.public_pieces(langid.default_vocabulary())
+    assert max(map(len, vocabulary)) > 6
+    long = [p.removeprefix(langid.MARK) for p in vocabulary if len(p) > 8]
+    counts = {"aa": {made("abcde", r.randrange(1, 9)): 3 for _ in range(200)} | dict.fromkeys(long[:300], 2), "bb": {made("defghé", r.randrange(1, 9)): 2 for _ in range(200)} | dict.fromkeys(long[300:], 1)}
+    model = langid.fit_counts(["aa", "bb"], counts, vocabulary)
+    assert set(model.pieces) == set(vocabulary)
+    words = ["a", "的", "xyz的", *r.sample(long, 30), *(made("abcdefghé的", r.randrange(1, 30)) for _ in range(40)), made("abcdefgh", 41), made("abé的", 300), r.choice(long) * 9]
+    got = langid.log_likelihoods(words, model.probs, langid.Places(model.pieces))
+    for w, row in zip(words, got, strict=True):
+        assert [plain_log_sum(w, model, g) for g in model.langs] == pytest.approx(list(row), rel=1e-9)
+    texts = [" ".join(r.choice(words) + r.choice(["", ",", "-" + r.choice(words), "12"]) for _ in range(r.randrange(1, 12))) for _ in range(30)] + ["", "12 !", None]
+    preds, scores = langid.Scorer(model).predict([t or "" for t in texts])
+    for t, p, s in zip(texts, preds, scores, strict=True):
+        chunks = (t or "").lower().split()
+        runs = [w for c in chunks for w in langid.LETTERS.findall(c)]
+        if not runs:
+            assert (p, s) == ("und", 0)
+            continue
+        logs = np.array([sum(plain_log_sum(w, model, g) for w in runs) for g in model.langs]) / math.sqrt(len(chunks))
+        share = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        assert p == model.langs[int(logs.argmax())] and s == pytest.approx(share.max(), rel=1e-6)
 
 
 def test_toxicity(spark, docs, empty):
