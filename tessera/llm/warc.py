@@ -11,8 +11,10 @@ path), timestamp and page. Captures are dealt out by ranges of that order; in ea
 of the runs, each in its order, are merged by a loser tree. The ranges in order are the whole
 history. A range holds RANGE captures or so, however many one URL or host has.
 
-Pages without a timestamp column are captured one second apart, in the order of page_id, from EPOCH.
-Null html is an empty payload, null urls are the empty URL. A repeated page_id gives a record each.
+Pages count as captured one second apart, in the order of page_id, from EPOCH on; ids wrap after SPAN
+seconds, so that any bigint has a date of four-digit years. Captures of one time are in the order of
+page_id, a null one first. Null html is an empty payload, null urls are the empty URL. A repeated page_id
+gives a record each; of the rows of the largest page_id of a payload, all are responses.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
-from tessera.session import checkpoint_dir, cut, ship
+from tessera.session import checkpoint_dir, cut, remove, ship
 
-LEAST_BYTES, RANGE, EPOCH = 1000, 50_000, datetime(2024, 1, 1, tzinfo=timezone.utc)
+LEAST_BYTES, RANGE, EPOCH, SPAN = 1000, 50_000, datetime(2024, 1, 1, tzinfo=timezone.utc), 20 * 365 * 86_400
 END = "\r\n\r\n"
 
 
@@ -42,8 +44,8 @@ def records(pages: DataFrame) -> DataFrame:
     # the digest anew: both sides are dealt out for the join, and a hot digest can be split
     large = large.select(F.concat("digest", F.lit("")).alias("digest"), "first")
     joined = rows.join(large, "digest", "left")
-    again = F.col("first").isNotNull() & (F.col("first") != F.col("page_id")) & (F.col("bytes") >= LEAST_BYTES)
-    when = F.date_format(F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")) & (F.col("bytes") >= LEAST_BYTES)
+    when = F.date_format(F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SPAN))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     kind = F.when(again, "revisit").otherwise("response")
     refers = F.when(again, F.col("first"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -191,20 +193,24 @@ def merged(found: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write the pages as archives, read them back, and return the merged capture index.
 
-    Archives go to the shared folder of the cluster unless a path is given.
+    Unless a path is given, archives go to the shared folder of the cluster and are dropped once read.
     """
     spark = pages.sparkSession
+    own = path is None
     path = path or f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path)
-    return merged(cut(captures(spark, path)))
+    found = cut(captures(spark, path))
+    if own:
+        remove(spark, path)
+    return merged(found)
 
 
 SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
 d AS (SELECT page_id, html, n, sha1(html) AS digest, max(page_id) OVER (PARTITION BY html) AS first FROM p)
 SELECT page_id, n AS payload_bytes, digest AS payload_digest,
-  CASE WHEN n >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= 1000 AND first <> page_id THEN first END AS refers_to
+  CASE WHEN n >= 1000 AND first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND first IS DISTINCT FROM page_id AND first IS NOT NULL THEN first END AS refers_to
 FROM d
 """
 

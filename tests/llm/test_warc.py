@@ -24,5 +24,16 @@ def test_archive(spark, tmp_path):
         assert (x["record_type"], x["refers_to"]) == (("revisit", 8) if x["page_id"] < 8 else ("response", None))
 
 
+def test_any_page_id(spark, tmp_path):
+    ids = [None, -(2**63), -5, 0, 1, 3 * 10**11, 10**13, 2**62, 2**63 - 1]
+    pages = spark.createDataFrame([(i, "http://a.example.com/", "x" * 2000) for i in ids], "page_id long, url string, html string")
+    got = warc.archive(pages, str(tmp_path / "w")).collect()
+    assert sorted((x["page_id"] is not None, x["page_id"] or 0) for x in got) == sorted((i is not None, i or 0) for i in ids)
+    assert [warc.order(x) for x in got] == sorted(warc.order(x) for x in got)
+    assert all(len(x["stamp"]) == 20 and x["stamp"][:2] == "20" for x in got)
+    assert all(x["record_type"] == ("response" if x["page_id"] == 2**63 - 1 else "revisit") for x in got)
+    assert {x["refers_to"] for x in got if x["record_type"] == "revisit"} == {2**63 - 1}
+
+
 def test_empty(spark, tmp_path):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w")).count() == 0
