@@ -2,6 +2,7 @@ import functools
 import random
 
 import pytest
+import regex
 from compare import assert_same
 
 from tessera.llm import bpe, decontaminate, langid, quality, queries, secrets, toxicity
@@ -298,7 +299,7 @@ def test_quality_references_count_words_seen_once(spark):
 def test_decontamination(spark, docs, empty, monkeypatch, shuffled):
     if shuffled:
         monkeypatch.setattr(decontaminate, "MAX_BROADCAST", -1)
-        monkeypatch.setattr(decontaminate, "MAX_IDS", -1)
+        monkeypatch.setattr(decontaminate, "MAX_BYTES", -1)
     shared = " ".join(f"w{k}" for k in range(60))
     part = " ".join(f"w{k}" for k in range(30)) + " " + " ".join(f"q{k}" for k in range(5))
     bench = spark.createDataFrame([(1, shared), (2, part), (3, "too short"), (4, None), (5, shared), (6, "w1 w2 w3 w4 other words that are not there")], "item_id long, text string")
@@ -308,3 +309,12 @@ def test_decontamination(spark, docs, empty, monkeypatch, shuffled):
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d["doc_id"] for d in docs.collect()} - holders
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
+    short = spark.createDataFrame([(1, "Mouse seven!"), (2, "b"), (3, "w1 w2 w3 w4"), (4, "w4 w2"), (5, "me site org or 49")], "item_id long, text string")
+    want = set()
+    for d in docs.collect():
+        own = " " + " ".join(regex.findall(r"[\p{L}\p{N}]+", (d["text"] or "").lower())) + " "
+        want |= {(d["doc_id"], i) for i, t in ((1, "mouse seven"), (2, "b"), (3, "w1 w2 w3 w4"), (4, "w4 w2"), (5, "me site org or 49")) if f" {t} " in own}
+    clash = docs.withColumnRenamed("doc_id", "item_id")
+    assert {(r["item_id"], r["item_id_"]) for r in decontaminate.leaks(clash, short, "item_id").collect()} == want and len({i for _, i in want}) == 4
+    gone = {d for d, i in want if i == 5}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, short).collect()} == {d["doc_id"] for d in docs.collect()} - gone
