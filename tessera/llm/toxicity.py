@@ -4,9 +4,11 @@ A text is a bag of sentences. Each sentence has a logistic score over its words;
 the noisy-or of its sentences. Only the texts' labels are learned from (log likelihood of the
 noisy-or, Adam, weight decay), then the sentences' own scores tell where the offence is.
 
-Sentences end at `.`, `!`, `?` and line breaks. Words are lower-case letter runs; their starts
-are features, too, as offence may sit in the stem. Null and empty texts are one empty sentence, scored by the bias.
-Without labels of both classes every score is 0.
+Sentences end at line breaks and at words that end in `.`, `!` or `?` and what is no letter or digit after
+these. Words are lower-case letter runs; their starts are features, too, as offence may sit in the stem.
+Null and empty texts are one empty sentence, scored by the bias. Without labels of both classes every
+score is 0. The sentences of 0.5 or more are given as start:end in code points, end exclusive, in order.
+Repeated rows of an id share its label, of several labels the larger; each row gets its own score.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from tessera.session import ship
 
 LETTERS = regex.compile(r"\p{L}+")
 ENDS = regex.compile(r"[.!?][^\p{L}\p{N}]*$")
-SENTENCES = regex.compile(r"[^\n]+?(?:[.!?](?=\s|$)|$|(?=\n))")
-#: Parameters of the fit: about so many labelled texts of each class, texts that a
-#: feature needs, steps, least z of a feature's association with label 1, weight decay.
-DOCS_PER_CLASS, MIN_DOCS, STEPS, LEAST_Z, DECAY = 1_500, 5, 300, 4.0, 1e-4
+CHUNKS = regex.compile(r"\n|[^\s\x1c-\x1f\x85]+")
+#: Parameters of the fit: about so many labelled texts of each class and characters of a text, as the driver holds
+#: them; texts that a feature needs, steps, least z of a feature's association with label 1, weight decay.
+DOCS_PER_CLASS, MOST_CHARS, MIN_DOCS, STEPS, LEAST_Z, DECAY = 1_500, 40_000, 5, 300, 4.0, 1e-4
 
 
 @dataclass
@@ -112,20 +114,27 @@ def fit_texts(texts: list[str], labels: list[int], min_docs: int = MIN_DOCS, ste
     return Model({f: float(w[k]) for f, k in place.items() if w[k]}, float(b))
 
 
+def places(text: str) -> list[tuple[int, int]]:
+    """Start and end of each sentence, as the weigher parts them; at least one. A line break that follows
+    an end is a sentence of its own."""
+    out, start, end = [], None, 0
+    for m in CHUNKS.finditer(text):
+        start, end = m.start() if start is None else start, m.end()
+        if m[0] == "\n" or ENDS.search(m[0].lower()):
+            out.append((start, end))
+            start = None
+    return out + [(start, end)] if start is not None else out or [(0, 0)]
+
+
 def sentences(text: str) -> list[str]:
-    """The sentences of a text in lower case, as the weigher parts them; at least one."""
-    out: list[list[str]] = [[]]
-    for c in text.lower().replace("\n", " . ").split():
-        out[-1].append(c)
-        if ENDS.search(c):
-            out.append([])
-    return [" ".join(s) for s in out if s] or [""]
-
-
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = DOCS_PER_CLASS) -> Model | None:
-    """Fit on about docs_per_class rows of each label, those with the smallest hash of the id."""
-    raise_if = F.col(label_col).isin(0, 1)
-    texts = labelled.filter(raise_if).select(F.coalesce(text_col, F.lit("")).alias("text"), F.col(label_col).alias("label"), id_col).orderBy(id_col).toPandas()
+    """The sentences of a text in lower case."""
+    return [text[a:b].lower() for a, b in places(text)]
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+    """Fit on the rows given, a bounded sample; texts of over MOST_CHARS characters are left out of the fit."""
+    short = F.coalesce(F.length(text_col), F.lit(0)) <= MOST_CHARS
+    texts = labelled.filter(F.col(label_col).isin(0, 1) & short).select(F.coalesce(text_col, F.lit("")).alias("text"), F.col(label_col).alias("label"), id_col).orderBy(id_col).toPandas()
     return fit_texts(texts["text"].tolist(), texts["label"].astype(int).tolist())
 
 
@@ -142,7 +151,7 @@ _WEIGHERS: dict[str, Weigher] = {}
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, kept columns, score, predicted and n_toxic_sentences for every whole text."""
+    """id, kept columns, score, predicted, n_toxic_sentences and toxic_spans for every whole text."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names, key = [id_col, *keep], uuid4().hex
@@ -153,22 +162,23 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             _WEIGHERS[key] = Weigher(shared.value)
         for batch in batches:
             for part in slices(batch, most_bytes=2 << 20):
-                got = _WEIGHERS[key].score(texts_of(part)) if shared.value else [(0.0, 0)] * part.num_rows
-                cols = [part.column(0), *(part.column(k) for k in range(2, part.num_columns)), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), pa.array([n for _, n in got], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, "score", "predicted", "n_toxic_sentences"])
+                texts = texts_of(part)
+                got = _WEIGHERS[key].score(texts) if shared.value else [(0.0, 0)] * part.num_rows
+                spans = [",".join(f"{a}:{b}" for a, b, _ in locate(t, shared.value)) if n else "" for t, (_, n) in zip(texts, got, strict=True)]
+                cols = [part.column(0), *(part.column(k) for k in range(2, part.num_columns)), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), pa.array([n for _, n in got], pa.int64()), pa.array(spans, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, "score", "predicted", "n_toxic_sentences", "toxic_spans"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(id_col, text_col, *keep).mapInArrow(run, f"{schema}, score double, predicted int, n_toxic_sentences bigint")
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, f"{schema}, score double, predicted int, n_toxic_sentences bigint, toxic_spans string")
 
 
 def locate(text: str, model: Model) -> list[tuple[int, int, float]]:
     """Start, end and score of each sentence of a text that scores 0.5 or more."""
     out = []
-    for s in SENTENCES.finditer(text or ""):
-        z = model.bias + sum(model.weights.get(f, 0.0) for w in LETTERS.findall(s[0].lower()) for f in features(w))
-        p = 1 / (1 + np.exp(-z))
-        if p >= 0.5:
-            out.append((s.start(), s.end(), float(p)))
+    for a, b in places(text or ""):
+        z = model.bias + sum(model.weights.get(f, 0.0) for w in LETTERS.findall(text[a:b].lower()) for f in features(w)) if text else model.bias
+        if z >= 0:
+            out.append((a, b, float(1 / (1 + np.exp(-z)))))
     return out
 
 
@@ -177,4 +187,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod() == 0).alias("held_out"))
     labels = sampled(table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(crc_mod() != 0), "doc_id", "toxic", DOCS_PER_CLASS)
     chosen = docs.join(F.broadcast(labels), "doc_id")  # the sample's size is bounded
-    return score(docs, fit(chosen), keep=("held_out",)).select("doc_id", "held_out", "score", "predicted", "n_toxic_sentences")
+    return score(docs, fit(chosen), keep=("held_out",)).select("doc_id", "held_out", "score", "predicted", "n_toxic_sentences", "toxic_spans")

@@ -125,6 +125,47 @@ def test_toxicity(spark, docs, empty):
     assert {x["score"] for x in toxicity.score(docs, None).collect()} == {0.0} and toxicity.score(empty, None).count() == 0
 
 
+def test_toxicity_is_the_noisy_or_of_its_sentences(spark):
+    import math
+
+    r = random.Random(9)
+    model = toxicity.Model({"vile": 3.0, "vile-": 0.5, "rotten": 2.0, "rott-": 0.7, "calm": -1.0}, -2.5)
+    parts = ["vile", "Vileness", "rotten.", "calm)", "bad.)", "ok", "!", "?\u201d", "\n", " ", "\x1c", "\u0130x.", "3.5", "word", "\t"]
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", " "]) for _ in range(r.randrange(25))) for _ in range(400)] + ["", "bad.) calm", "vile vile\nvile vile.", "İ. vile vile vile"]
+
+    def plain(t):
+        bags, now = [], []
+        for c in t.lower().replace("\n", " . ").split():
+            now.append(c)
+            tail = c.rstrip("".join(x for x in set(c) if not x.isalnum() and x not in ".!?"))
+            while tail and not tail[-1].isalnum() and tail[-1] not in ".!?":
+                tail = tail[:-1]
+            if tail and tail[-1] in ".!?":
+                bags.append(now)
+                now = []
+        if now or not bags:
+            bags.append(now)
+        clean, toxic = 1.0, 0
+        for bag in bags:
+            z = model.bias
+            for c in bag:
+                for w in regex.findall(r"\p{L}+", c):
+                    z += model.weights.get(w, 0) + sum(model.weights.get(w[:k] + "-", 0) for k in range(4, min(9, len(w))))
+            clean *= 1 - 1 / (1 + math.exp(-z))
+            toxic += z >= 0
+        return 1 - clean, toxic
+
+    got = toxicity.Weigher(model).score(texts)
+    for t, (p, n) in zip(texts, got, strict=True):
+        want = plain(t)
+        assert p == pytest.approx(want[0], abs=1e-12) and n == want[1] == len(toxicity.locate(t, model))
+    assert [texts[-2][a:b] for a, b, _ in toxicity.locate(texts[-2], model)] == ["vile vile\n", "vile vile."]
+    assert [texts[-1][a:b] for a, b, _ in toxicity.locate(texts[-1], model)] == ["vile vile vile"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for x in toxicity.score(rows, model).collect():
+        assert x["toxic_spans"] == ",".join(f"{a}:{b}" for a, b, _ in toxicity.locate(texts[x["doc_id"]], model))
+
+
 @functools.cache
 def fitted():
     return secrets.fit()
