@@ -10,9 +10,12 @@ keys a half and fingerprint, equal texts and equal fingerprints having been merg
 matches at a key are verified at full distance. Keys with over BLOCK fingerprints are not compared
 pair by pair: their other halves are hashed to hubs so that all at a hub are within MOST bits and
 all within MOST bits share a hub (radius 2 for those at the key itself, 1 for those a bit away),
-which needs time in proportion to their number. Components are found over the links by joins.
+which needs time in proportion to their number. A key with over HEAVY fingerprints isn't held by one task
+either: its rows pass through and are dealt out by key and hub, and each links to the least at its hub.
+Components are found over the links by joins.
 
-Null texts count as empty. Ties and repeated rows have equal fingerprints and so one component.
+Null texts count as empty. Ties and repeated rows have equal fingerprints and so one component. A null id
+counts as the least, as -2**63, so an id of that value is given back as null.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from tessera.llm.common import bytes_of, free, slices, table
 from tessera.llm.components import components, fresh
 from tessera.session import cut, ship
 
-SHINGLE, SEED, MOST, BLOCK = 4, 42, 4, 32
+SHINGLE, SEED, MOST, BLOCK, HEAVY = 4, 42, 4, 32, 200_000
 MASK = (1 << 32) - 1
 #: Stands for a null id, which counts as the least.
 NULL_ID, MAX_IDS = -(2**63), 200_000
@@ -143,30 +146,62 @@ def links(nodes: DataFrame) -> DataFrame:
     seg = F.when(F.col("i") < 33, F.lit(0).cast("bigint")).otherwise(F.lit(1 << 32))
     keys = nodes.select("fp", "rep", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("i")).select(half.bitwiseXOR(flip).bitwiseOR(seg).alias("key"), "fp", "rep")
 
+    nothing = pa.array([], pa.int64())
+
     def run(batches):
         kept: list[list[np.ndarray]] = []
+        heavy = None  # the key whose rows pass through
         for batch in batches:
             k, f, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if heavy is not None:
+                same = int(np.searchsorted(k, heavy, "right"))
+                yield passed(k[:same], f[:same], r[:same])
+                k, f, r = k[same:], f[same:], r[same:]
             if not len(k):
                 continue
-            kept.append([k, f.view(np.uint64), r])
-            if kept[0][0][0] == k[-1] or sum(len(x[0]) for x in kept) < 200_000:
+            heavy = None
+            kept.append([k, f, r])
+            held = sum(len(x[0]) for x in kept)
+            if held < HEAVY:
                 continue
             k, f, r = (np.concatenate([x[i] for x in kept]) for i in range(3))
             last = int(np.searchsorted(k, k[-1]))  # the last key may go on
+            yield emit(k[:last], f[:last], r[:last])
             kept = [[k[last:], f[last:], r[last:]]]
-            yield from emit(k[:last], f[:last], r[:last])
+            if held - last >= HEAVY:
+                heavy = int(k[-1])
+                yield passed(*kept.pop())
         if kept:
-            yield from emit(*(np.concatenate([x[i] for x in kept]) for i in range(3)))
+            yield emit(*(np.concatenate([x[i] for x in kept]) for i in range(3)))
 
     def emit(k, f, r):
-        us, vs = key_links(k, f, r)
+        us, vs = key_links(k, f.view(np.uint64), r) if len(k) else ([], [])
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
         pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64()), pa.nulls(pairs.shape[1], pa.int64())], names=["u", "v", "key"])
+
+    def passed(k, f, r):
+        """Rows of a heavy key: fingerprint, id and key in place of a link."""
+        return pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int64())], names=["u", "v", "key"])
 
     ship(nodes.sparkSession)
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint")
+    found = cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint, key bigint"))
+    own = found.filter(F.col("key").isNull()).select("u", "v")
+    rest = found.filter(F.col("key").isNotNull()).select("key", F.col("u").alias("fp"), F.col("v").alias("rep"))
+    return own.unionByName(heavy_links(rest)) if rest.limit(1).count() else own
+
+
+def heavy_links(rows: DataFrame) -> DataFrame:
+    """(u, v): each id of a heavy key (key, fp, rep) with the least id at each of its hubs."""
+    low, high = F.col("fp").bitwiseAND(F.lit(MASK)), F.shiftrightunsigned("fp", 32)
+    upper = F.shiftrightunsigned("key", 32) == 1
+    own, other = F.when(upper, high).otherwise(low), F.when(upper, low).otherwise(high)
+    masks = [F.array(*[F.lit(int(m)) for m in ball(k)]) for k in (1, 2)]
+    mask = F.explode(F.when(own == F.col("key").bitwiseAND(F.lit(MASK)), masks[1]).otherwise(masks[0]))
+    hubs = rows.select("key", "rep", other.alias("other"), mask.alias("mask")).select("key", F.col("other").bitwiseXOR(F.col("mask")).alias("hub"), "rep")
+    least = hubs.groupBy("key", "hub").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter(F.col("least") < F.col("most"))
+    both = hubs.join(least.select(fresh("key"), fresh("hub"), "least"), ["key", "hub"]).filter(F.col("rep") > F.col("least"))
+    return both.select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
 
 
 def placed(fps: DataFrame, key: str) -> DataFrame:

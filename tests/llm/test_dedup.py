@@ -98,9 +98,11 @@ def test_simhash(docs, empty):
     assert simhash.classes(empty).count() == 0 and simhash.first_of_each(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [4, 32])
-def test_links_of_dense_clusters(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "heavy"), [(4, 200_000), (32, 200_000), (4, 8), (32, 20)])
+def test_links_of_dense_clusters(spark, monkeypatch, block, heavy):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HEAVY", heavy)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7 if heavy < 100 else 10_000)
     rng = np.random.default_rng(1)
     base = [int(x) for x in rng.integers(0, 2**63, 4)]
     fps = set()
@@ -114,6 +116,7 @@ def test_links_of_dense_clusters(spark, monkeypatch, block):
     nodes = spark.createDataFrame(rows, "fp long, rep long")
     got = dict.fromkeys(by)
     got.update({r["node"]: r["root"] for r in components.components(simhash.links(nodes)).collect()})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {i: i if c is None else c for i, c in got.items()} == brute_components(by)
 
 
