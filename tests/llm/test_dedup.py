@@ -42,6 +42,26 @@ def test_substring_random(spark):
     assert all(want[x["doc_id"]] == (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring.dedup(df).collect())
 
 
+def test_runs_of_a_long_text_in_linear_time(spark):
+    import time
+
+    n = 200_000
+    places = spark.range(n).selectExpr("id % 2 as doc", "cast(id * 3 as int) as start", "1 as width").unionByName(spark.createDataFrame([(0, 0, 2), (0, 2, 1), (0, 2, 9), (7, 4, 1)], "doc long, start int, width int"))
+    began = time.time()
+    got = {x["doc"]: list(zip(x["starts"], x["widths"], strict=True)) for x in substring.merged(places).collect()}
+    assert time.time() - began < 40
+    assert got[7] == [(4, 1)] and len(got[1]) == n // 2 and got[0][:2] == [(0, 11), (12, 1)] and len(got[0]) == n // 2 - 1
+
+
+def test_substring_of_long_repetitive_texts(spark):
+    r = random.Random(3)
+    part = [" ".join(f"p{k}_{i}" for i in range(20)) for k in range(300)]
+    texts = [" ".join(r.choice(part) + f" x{n}_{k}" for k in range(1500)) for n in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_substring(list(enumerate(texts)))
+    assert all(want[x["doc_id"]] == (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring.dedup(df).collect())
+
+
 def test_substring_empty(empty):
     assert substring.dedup(empty).count() == 0
 
