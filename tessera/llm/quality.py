@@ -1,10 +1,11 @@
 """Quality rules: counts of a text, and its divergence from language references.
 
 A reference of a language holds two histograms, gathered over all documents of that language:
-bytes by character class, and the share of each of its WORDS most frequent words (all other words
-together are one more bin). A text is compared with every reference by the Jensen-Shannon
-distance (base 2) of each histogram, smoothed alike at all lengths, and is judged by the reference
-that is nearest. Texts shorter than MIN_CHARS characters or MIN_WORDS words are not judged by that
+characters by class, and the share of each of its WORDS most frequent words (all other words
+together are one more bin). A character over ASCII has the class of the block of scripts that the first
+byte of its UTF-8 form tells. A text is compared with every reference by the Jensen-Shannon
+distance (base 2) of each histogram, of which that of the classes has half a character added to each, and
+is judged by the reference that is nearest. Texts shorter than MIN_CHARS characters or MIN_WORDS words are not judged by that
 histogram: short texts are far from any reference by chance.
 
 A text that holds none of a reference's words is at a distance that its share of them sets. Over
@@ -33,13 +34,15 @@ WORDS, MIN_CHARS, MIN_WORDS, MAX_CHAR_JSD, MAX_WORD_JSD, NONE = 40, 300, 60, 0.3
 #: Words in all that a language needs for its words to be a reference.
 LEAST = 1_000
 SYMBOLS = b"#*$%&|<>"
-CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "symbol", "other", "lead", "tail")
+#: First bytes of UTF-8 by blocks of scripts; what is not listed begins no character.
+BLOCKS = {"latin": (0xC3, 0xC9), "sign": (0xC2, 0xC2), "mark": (0xCA, 0xCD), "greek": (0xCE, 0xCF), "cyrillic": (0xD0, 0xD4), "semitic": (0xD5, 0xDF), "indic": (0xE0, 0xE1), "general": (0xE2, 0xE2), "kana": (0xE3, 0xE3), "han": (0xE4, 0xE9), "hangul": (0xEA, 0xED), "private": (0xEE, 0xEF), "beyond": (0xF0, 0xF4)}
+CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "symbol", "other", *BLOCKS, "tail")
 
 
 def class_table() -> np.ndarray:
-    """The class of each byte; tail bytes of UTF-8 are a class that no histogram counts."""
+    """The class of each first byte of a character; tail bytes of UTF-8 are a class that no histogram counts."""
     out = np.full(256, CLASSES.index("other"))
-    for chars, name in ((b"abcdefghijklmnopqrstuvwxyz", "lower"), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "upper"), (b"0123456789", "digit"), (b" \t\v\f\r", "space"), (b"\n", "line"), (b".,", "stop"), (SYMBOLS, "symbol"), (range(0xC0, 0x100), "lead"), (range(0x80, 0xC0), "tail")):
+    for chars, name in ((b"abcdefghijklmnopqrstuvwxyz", "lower"), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "upper"), (b"0123456789", "digit"), (b" \t\v\f\r", "space"), (b"\n", "line"), (b".,", "stop"), (SYMBOLS, "symbol"), (range(0x80, 0xC0), "tail"), *((range(a, b + 1), name) for name, (a, b) in BLOCKS.items())):
         out[list(chars)] = CLASSES.index(name)
     return out
 

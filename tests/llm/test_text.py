@@ -320,6 +320,18 @@ def test_quality_rejects_texts_without_common_words(spark):
     assert all(got[k]["kept"] for k in range(200))
 
 
+def test_quality_tells_scripts_apart(spark):
+    r = random.Random(2)
+    made = lambda a, n: "".join(chr(ord(a) + r.randrange(20)) for _ in range(n))
+    prose = lambda a: " ".join(made(a, r.randrange(2, 8)) for _ in range(150))
+    rows = [(k, prose("\u0430"), "ru") for k in range(30)] + [(100, prose("\u4e00"), None), (101, prose("\u0430"), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in quality.rules(docs, quality.references(docs)).collect()}
+    assert not got[100]["kept"] and got[100]["char_jsd"] > 0.8 and got[101]["char_jsd"] < 0.1
+    texts = ["a\u00e9\u0416\u05d0\u0915\u2014\u3042\u4e2d\ud55c\uff01\U0001f600\u0301\u03b1\u00a3"]
+    assert quality.class_counts(texts[0].encode())[:-1].sum() == len(texts[0]) and quality.class_counts(texts[0].encode())[8:-1].tolist() == [1] * len(quality.BLOCKS)
+
+
 def test_quality_references_count_words_seen_once(spark):
     r = random.Random(12)
     made = lambda n: "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(n))
