@@ -49,6 +49,36 @@ def test_bootstrap_finds_what_the_patterns_miss(spark):
     assert masked[100] == "Contact phone: <CTX> please" and masked[0] == "call Contact phone: <PHONE> today"
 
 
+def test_bootstrap_finds_any_token(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = [(k, f"{word()} reach me: user{k}@mail.example.org {word()}") for k in range(40)]
+    rows += [(100 + k, f"{word()} Phone no: +49 30 {1000000 + k * 7} {word()}") for k in range(40)]
+    rows += [(200, "reach me: jack(at)host, please"), (201, "so reach me:   jo_doe"), (202, "Phone no: 555 123 4567. Bye 12"), (203, "Phone no: (017) 555-7713 or"), (204, " reach me:")]
+    rows += [(300 + k, f"the {word()} and the +49 30 {2000000 + k} of {word()}") for k in range(4)] + [(400 + k, f"the {word()} the {word()}") for k in range(40)]
+    rows += [(500, rows[80][1]), (501, None), (502, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    text = dict(rows)
+    got = {x["doc_id"]: [text[x["doc_id"]][int(s.split(":")[1]) : int(s.split(":")[2])] for s in x["spans"].split(",") if s.startswith("ctx")] for x in pii.find(df).collect()}
+    assert got[200] == got[500] == ["jack(at)host"] and got[201] == ["jo_doe"] and got[202] == ["555 123 4567"] and got[203] == ["(017) 555-7713"]
+    assert not any(v for k, v in got.items() if k not in (200, 201, 202, 203, 500))  # `the` has seeds, too few for its places
+    masked = {x["doc_id"]: x["text"] for x in pii.redact(df).collect()}
+    assert masked[200] == "reach me: <CTX>, please" and masked[202] == "Phone no: <CTX>. Bye 12" and masked[501] is None and masked[502] == ""
+
+
+def test_long_texts_with_many_spans_in_linear_time(spark, monkeypatch):
+    import time
+
+    monkeypatch.setattr(pii, "MAX_BYTES", -1)
+    n = 30_000
+    text = " ".join(f"é{k} mail x{k}@b.co" for k in range(n))
+    df = spark.createDataFrame([(1, text), (2, "mail a(at)b"), (3, None)], "doc_id long, text string")
+    began = time.time()
+    got = {x["doc_id"]: x["text"] for x in pii.redact(df).collect()}
+    assert got == {1: " ".join(f"é{k} mail <EMAIL>" for k in range(n)), 2: "mail <CTX>", 3: None}
+    assert time.time() - began < 120
+
+
 def test_redact_keeps_rows_and_columns(docs):
     got = pii.redact(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
