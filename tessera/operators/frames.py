@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.adapters import CLIP
 
-def previous(cells: DataFrame, by: str = "cell", order: str = "frame", value: str = "value") -> DataFrame:
-    """Each cell with its value in the frame before, as `before` (null in the first)."""
-    return cells.withColumn("before", F.lag(value).over(Window.partitionBy(by).orderBy(order)))
+
+def previous(cells: DataFrame, by: list[str | Column] | None = None, order: str = "frame", value: str = "value") -> DataFrame:
+    """Each cell with its value in the frame before, as `before` (null in the first of a clip)."""
+    by = by or [F.floor(F.col("frame") / CLIP), "cell"]
+    return cells.withColumn("before", F.lag(value).over(Window.partitionBy(*by).orderBy(order)))
 
 
 def change_report(cells: DataFrame, keyint: int = 15) -> DataFrame:

@@ -29,19 +29,20 @@ def nearest_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 sql_query("palette_lookup_rgb", f"WITH {PALETTE}, c AS (SELECT frame, cell, value % 10 AS idx FROM {{cells}}) SELECT frame, cell, c.idx AS idx, pr, pg, pb FROM c JOIN palette ON c.idx = palette.idx")
 sql_query("palette_band", f"WITH {PALETTE}, c AS (SELECT frame, cell, y, value % 10 AS idx FROM {{cells}} WHERE y >= 2 AND y <= 4) SELECT frame, cell, pr * 65536 + pg * 256 + pb AS packed FROM c JOIN palette ON c.idx = palette.idx")
-sql_query("palette_dirty_only", f"""WITH {PALETTE}, l AS (SELECT frame, cell, value % 10 AS idx, lag(value % 10) OVER (PARTITION BY cell ORDER BY frame) AS before FROM {{cells}})
+sql_query("palette_dirty_only", f"""WITH {PALETTE}, l AS (SELECT frame, cell, value % 10 AS idx, lag(value % 10) OVER (PARTITION BY floor(frame / 250), cell ORDER BY frame) AS before FROM {{cells}})
 SELECT frame, cell, pr, pg, pb FROM l JOIN palette ON l.idx = palette.idx WHERE before IS NULL OR before <> l.idx""")
 sql_query("palette_packed_lut", f"WITH {PALETTE}, c AS (SELECT DISTINCT value AS idx FROM {{cells}}) SELECT c.idx AS idx, coalesce(4278190080 + pb * 65536 + pg * 256 + pr, 4278190080) AS packed FROM c LEFT JOIN palette ON c.idx = palette.idx")
 
 
 @query("palette_asof", """
-WITH e AS (SELECT vec_id AS frame, CAST(label AS BIGINT) AS label, lag(label) OVER (ORDER BY vec_id) AS before FROM {embeddings}),
+WITH e AS (SELECT vec_id AS frame, CAST(label AS BIGINT) AS label, lag(label) OVER (PARTITION BY floor(vec_id / 250) ORDER BY vec_id) AS before FROM {embeddings}),
 m AS (SELECT frame, CASE WHEN before IS NULL OR before <> label THEN label END AS emitted FROM e)
-SELECT frame, last_value(emitted IGNORE NULLS) OVER (ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS palette FROM m""")
+SELECT frame, last_value(emitted IGNORE NULLS) OVER (PARTITION BY floor(frame / 250) ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS palette FROM m""")
 def palette_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.frame(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.col("label").cast("bigint").alias("palette"))
-    changed = frames.previous(e.withColumn("all_", F.lit(1)), "all_", "frame", "palette").filter("before IS NULL OR before <> palette").select("frame", "palette")
-    return frames.asof(e.select("frame"), changed, "frame", ["palette"])
+    e = e.withColumn("clip", F.floor(F.col("frame") / adapters.CLIP))
+    changed = frames.previous(e, ["clip"], "frame", "palette").filter("before IS NULL OR before <> palette").select("clip", "frame", "palette")
+    return frames.asof(e.select("clip", "frame"), changed, "frame", ["palette"], ["clip"]).select("frame", "palette")
 
 
 sql_query("planes_to_cells", "SELECT frame, CAST(floor(cell / 2) AS BIGINT) AS place, max(CASE WHEN cell % 2 = 0 THEN value END) AS glyph, max(CASE WHEN cell % 2 = 1 THEN value END) AS colour FROM {cells} GROUP BY frame, CAST(floor(cell / 2) AS BIGINT)")

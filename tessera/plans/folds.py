@@ -15,7 +15,7 @@ from tessera.sources import adapters, clips
 NUMBERED = "o AS (SELECT channel, event_id, value, row_number() OVER (PARTITION BY channel ORDER BY ts, event_id) AS k FROM {feed})"
 
 
-@query("idle_cost_ewma", f"WITH RECURSIVE {NUMBERED}, r AS (SELECT channel, event_id, k, value AS cost FROM o WHERE k = 1 UNION ALL SELECT o.channel, o.event_id, o.k, CASE WHEN o.value > r.cost THEN o.value ELSE 0.9e0 * r.cost + 0.1e0 * o.value END AS cost FROM r JOIN o ON o.channel = r.channel AND o.k = r.k + 1) SELECT channel, event_id, round(cost, 4) AS cost FROM r")
+@query("idle_cost_ewma", f"WITH RECURSIVE {NUMBERED}, r AS (SELECT channel, event_id, k, value AS cost FROM o WHERE k = 1 UNION ALL SELECT o.channel, o.event_id, o.k, CASE WHEN o.value > r.cost THEN o.value ELSE 0.9e0 * r.cost + 0.1e0 * o.value END AS cost FROM r JOIN o ON o.channel = r.channel AND o.k = r.k + 1) SELECT channel, event_id, floor(cost * 10000 + 0.5e0) / 10000 AS cost FROM r")
 def idle_cost_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up at once, down by a tenth: the cost that an idle slot must hold."""
 
@@ -25,10 +25,10 @@ def idle_cost_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     f = adapters.feed(spark, sf_dir).select("channel", "event_id", "ts", "value")
     got = folds.fold(f, "channel", ["ts", "event_id"], step, None, "channel bigint, event_id bigint, cost double")
-    return got.withColumn("cost", F.round("cost", 4))
+    return got.withColumn("cost", F.floor(F.col("cost") * 10000 + 0.5) / 10000)  # the same halves up on both engines
 
 
-@query("clock_pacing", f"WITH RECURSIVE {NUMBERED}, r AS (SELECT channel, event_id, k, value AS phase FROM o WHERE k = 1 UNION ALL SELECT o.channel, o.event_id, o.k, CASE WHEN abs(o.value - r.phase) > 60 THEN o.value ELSE r.phase + 0.3e0 * (o.value - r.phase) END AS phase FROM r JOIN o ON o.channel = r.channel AND o.k = r.k + 1) SELECT channel, event_id, round(phase, 4) AS phase FROM r")
+@query("clock_pacing", f"WITH RECURSIVE {NUMBERED}, r AS (SELECT channel, event_id, k, value AS phase FROM o WHERE k = 1 UNION ALL SELECT o.channel, o.event_id, o.k, CASE WHEN abs(o.value - r.phase) > 60 THEN o.value ELSE r.phase + 0.3e0 * (o.value - r.phase) END AS phase FROM r JOIN o ON o.channel = r.channel AND o.k = r.k + 1) SELECT channel, event_id, floor(phase * 10000 + 0.5e0) / 10000 AS phase FROM r")
 def clock_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phase that follows its clock in proportion and jumps when it is too far off."""
 
@@ -38,7 +38,7 @@ def clock_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     f = adapters.feed(spark, sf_dir).select("channel", "event_id", "ts", "value")
     got = folds.fold(f, "channel", ["ts", "event_id"], step, None, "channel bigint, event_id bigint, phase double")
-    return got.withColumn("phase", F.round("phase", 4))
+    return got.withColumn("phase", F.floor(F.col("phase") * 10000 + 0.5) / 10000)
 
 
 @query("greedy_budget", "WITH RECURSIVE o AS (SELECT role, id, bytes, row_number() OVER (PARTITION BY role ORDER BY priority DESC, id) AS k FROM {pieces}), r AS (SELECT role, id, k, CASE WHEN bytes <= 5000 THEN bytes ELSE 0 END AS used, bytes <= 5000 AS taken FROM o WHERE k = 1 UNION ALL SELECT o.role, o.id, o.k, CASE WHEN r.used + o.bytes <= 5000 THEN r.used + o.bytes ELSE r.used END AS used, r.used + o.bytes <= 5000 AS taken FROM r JOIN o ON o.role = r.role AND o.k = r.k + 1) SELECT role, id, used, taken FROM r")
@@ -63,7 +63,7 @@ def adaptive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_full")
 def kmeans_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = adapters.pixels(spark, sf_dir).groupBy("r", "g", "b").agg(F.count("*").alias("weight")).cache()
+    p = adapters.pixels(spark, sf_dir).groupBy("r", "g", "b").agg(F.count("*").alias("weight"))
     return folds.kmeans(p, ["r", "g", "b"], 8, 5)
 
 

@@ -9,7 +9,7 @@ from tessera.operators import frames
 from tessera.plans.registry import query, sql_query
 from tessera.sources import adapters
 
-LAGGED = "SELECT frame, cell, x, y, value, lag(value) OVER (PARTITION BY cell ORDER BY frame) AS before FROM {cells}"
+LAGGED = "SELECT frame, cell, x, y, value, lag(value) OVER (PARTITION BY floor(frame / 250), cell ORDER BY frame) AS before FROM {cells}"
 
 
 @query("frame_change_report", f"""
@@ -25,29 +25,29 @@ def frame_change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("keyframe_asof", """
-SELECT frame, CAST(max(CASE WHEN frame % 15 = 0 THEN frame END) OVER (ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS key_frame
+SELECT frame, CAST(max(CASE WHEN frame % 15 = 0 THEN frame END) OVER (PARTITION BY floor(frame / 250) ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS key_frame
 FROM (SELECT DISTINCT frame FROM {cells})""")
 def keyframe_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = adapters.cells(spark, sf_dir).select("frame").distinct()
-    keys = own.filter("frame % 15 = 0").select("frame", F.col("frame").alias("key_frame"))
-    return frames.asof(own, keys, "frame", ["key_frame"])
+    own = adapters.cells(spark, sf_dir).select(F.floor(F.col("frame") / adapters.CLIP).alias("clip"), "frame").distinct()
+    keys = own.filter("frame % 15 = 0").select("clip", "frame", F.col("frame").alias("key_frame"))
+    return frames.asof(own, keys, "frame", ["key_frame"], ["clip"]).select("frame", "key_frame")
 
 
 sql_query("next_key_horizon", """
 WITH f AS (SELECT DISTINCT frame FROM {cells}), n AS (
-  SELECT frame, min(CASE WHEN frame % 15 = 0 THEN frame END) OVER (ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS k FROM f)
+  SELECT frame, min(CASE WHEN frame % 15 = 0 THEN frame END) OVER (PARTITION BY floor(frame / 250) ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS k FROM f)
 SELECT frame, CAST(CASE WHEN k - frame <= 10 THEN k END AS BIGINT) AS next_key FROM n""")
 
 sql_query("delta_replay_last_value", f"""
 WITH l AS ({LAGGED}), d AS (SELECT frame, cell, CAST(floor(frame / 15) AS BIGINT) AS key_group, CASE WHEN frame % 15 = 0 OR before IS NULL OR before <> value THEN value END AS written FROM l)
 SELECT frame, cell, key_group, last_value(written IGNORE NULLS) OVER (PARTITION BY cell, key_group ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM d""")
 
-for name, other, order in (("left", "lag(value) OVER (PARTITION BY frame, y ORDER BY x)", ""), ("top", "lag(value) OVER (PARTITION BY frame, x ORDER BY y)", ""), ("prev_sub", "lag(value) OVER (PARTITION BY cell ORDER BY frame)", "")):
+for name, other, order in (("left", "lag(value) OVER (PARTITION BY frame, y ORDER BY x)", ""), ("top", "lag(value) OVER (PARTITION BY frame, x ORDER BY y)", ""), ("prev_sub", "lag(value) OVER (PARTITION BY floor(frame / 250), cell ORDER BY frame)", "")):
     sql_query(f"predictor_{name}", f"SELECT frame, cell, ((value - coalesce({other}, 0)) % 256 + 256) % 256 AS residual FROM {{cells}}")
 
 sql_query("predictor_prev_xor",
-    "SELECT frame, cell, value ^ coalesce(lag(value) OVER (PARTITION BY cell ORDER BY frame), 0L) AS residual FROM {cells}",
-    "SELECT frame, cell, xor(value, coalesce(lag(value) OVER (PARTITION BY cell ORDER BY frame), 0)) AS residual FROM {cells}")
+    "SELECT frame, cell, value ^ coalesce(lag(value) OVER (PARTITION BY floor(frame / 250), cell ORDER BY frame), 0L) AS residual FROM {cells}",
+    "SELECT frame, cell, xor(value, coalesce(lag(value) OVER (PARTITION BY floor(frame / 250), cell ORDER BY frame), 0)) AS residual FROM {cells}")
 
 GRADIENT = """WITH a AS (SELECT frame, cell, x, y, value, coalesce(lag(value) OVER (PARTITION BY frame, y ORDER BY x), 0) AS l, coalesce(lag(value) OVER (PARTITION BY frame, x ORDER BY y), 0) AS t FROM {cells}),
 b AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY frame, y ORDER BY x), 0) AS lt FROM a)"""
@@ -68,8 +68,8 @@ SELECT frame, cell, value, CAST(sum(row_sum) OVER (PARTITION BY frame, x ORDER B
 sql_query("keyframe_schedule", f"""
 WITH l AS ({LAGGED}), f AS (SELECT frame, CAST(sum(abs(value - coalesce(before, value))) AS BIGINT) AS moved FROM l GROUP BY frame),
 k AS (SELECT frame, moved, moved > 1500 AS hard_cut, frame % 15 = 0 OR moved > 1500 AS is_key FROM f),
-g AS (SELECT *, CAST(sum(CASE WHEN is_key THEN 1 ELSE 0 END) OVER (ORDER BY frame) AS BIGINT) AS key_group FROM k)
-SELECT frame, moved, hard_cut, is_key, key_group, row_number() OVER (PARTITION BY key_group ORDER BY frame) - 1 AS chain FROM g""")
+g AS (SELECT *, CAST(sum(CASE WHEN is_key THEN 1 ELSE 0 END) OVER (PARTITION BY floor(frame / 250) ORDER BY frame) AS BIGINT) AS key_group FROM k)
+SELECT frame, moved, hard_cut, is_key, key_group, row_number() OVER (PARTITION BY floor(frame / 250), key_group ORDER BY frame) - 1 AS chain FROM g""")
 
 sql_query("tag_counts", f"""
 WITH l AS ({LAGGED}), p AS (SELECT frame, CAST(sum(CASE WHEN before IS NULL OR before <> value THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM l GROUP BY frame),
@@ -77,9 +77,9 @@ t AS (SELECT frame, changed, CASE WHEN frame % 15 = 0 THEN 'FULL' WHEN 2 + 3 * c
 SELECT tag, count(*) AS frames, CAST(sum(CASE tag WHEN 'FULL' THEN 64 WHEN 'DELTA' THEN 2 + 3 * changed ELSE 8 + changed END) AS BIGINT) AS bytes, round(avg(changed), 6) AS mean_changed, CAST(max(frame % 15) AS BIGINT) AS longest_chain FROM t GROUP BY tag""")
 
 sql_query("palette_block_inference", """
-WITH e AS (SELECT vec_id AS frame, CAST(label AS BIGINT) AS palette, lag(label) OVER (ORDER BY vec_id) AS before FROM {embeddings}),
-b AS (SELECT frame, palette, CAST(sum(CASE WHEN before IS NULL OR before <> palette THEN 1 ELSE 0 END) OVER (ORDER BY frame) AS BIGINT) AS block FROM e)
-SELECT block, palette, min(frame) AS first, max(frame) + 1 AS stop, count(*) AS frames FROM b GROUP BY block, palette""")
+WITH e AS (SELECT vec_id AS frame, CAST(label AS BIGINT) AS palette, lag(label) OVER (PARTITION BY floor(vec_id / 250) ORDER BY vec_id) AS before FROM {embeddings}),
+b AS (SELECT frame, palette, CAST(sum(CASE WHEN before IS NULL OR before <> palette THEN 1 ELSE 0 END) OVER (PARTITION BY floor(frame / 250) ORDER BY frame) AS BIGINT) AS block FROM e)
+SELECT CAST(floor(frame / 250) AS BIGINT) AS clip, block, palette, min(frame) AS first, max(frame) + 1 AS stop, count(*) AS frames FROM b GROUP BY CAST(floor(frame / 250) AS BIGINT), block, palette""")
 
 sql_query("fixed_blocks", """
 SELECT CAST(floor(frame / 30) AS BIGINT) AS block, min(frame) AS first, max(frame) AS last, count(DISTINCT frame) AS frames, round(avg(value), 6) AS mean_value FROM {cells} GROUP BY CAST(floor(frame / 30) AS BIGINT)""")

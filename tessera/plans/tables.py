@@ -19,7 +19,7 @@ sql_query("feed_fields_valid", "SELECT event_id, serial, digits, length(digits)
 sql_query("manifest_rows", "SELECT id, concat(codec, '-', id) AS name, bytes, CASE WHEN priority > 25 THEN 'wide' ELSE 'narrow' END AS note FROM {pieces}")
 
 sql_query("header_fields", "SELECT page_id, CAST(ascii(substr(html, 1, 1)) + 256 * ascii(substr(html, 2, 1)) AS BIGINT) AS u16, CAST(ascii(substr(html, 3, 1)) AS BIGINT) AS u8, substr(html, 1, 4) AS magic FROM {pages}")
-sql_query("offset_table", "SELECT vec_id AS frame, 32 + coalesce(CAST(sum(20 + label) OVER (ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS offset_, CAST(20 + label AS BIGINT) AS block_bytes FROM {embeddings}")
+sql_query("offset_table", "SELECT vec_id AS frame, 32 + coalesce(CAST(sum(20 + label) OVER (PARTITION BY floor(vec_id / 250) ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS offset_, CAST(20 + label AS BIGINT) AS block_bytes FROM {embeddings}")
 
 
 @query("digest_manifest", "SELECT doc_id, octet_length(encode(text)) AS bytes, sha256(text) AS sha256, substr(sha256(text), 1, 12) AS name FROM {documents}")

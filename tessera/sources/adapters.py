@@ -1,7 +1,7 @@
 """The model's tables over the given Parquet tables, as DataFrames, and the same for DuckDB as SQL.
 
 `cells` are the elements of an embedding as an 8 x 8 grid of bytes, `pixels` its 21 colour triples,
-`keys` the frames that open a group of KEYINT, `feed` the events as serial numbers and digits,
+`keys` the frames that open a group of KEYINT, `feed` the events as serial numbers and digits by user,
 `pieces` and `matrix` the parts as priced media, `slots` the line items as rectangles in time.
 """
 
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEYINT = 15
+#: Frames of a key group and of a clip: a clip is a sequence of its own, and what is in order of frames is so by clip.
+KEYINT, CLIP = 15, 250
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -29,11 +30,18 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("frame", F.col("px").cast("bigint").alias("px"), channel(1).alias("r"), channel(2).alias("g"), channel(3).alias("b"))
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, frame, cells): the 64 values of a frame as one array, for work that needs whole frames."""
+    value = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 1) * 127.5))).cast("int")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select(F.floor(F.col("vec_id") / CLIP).alias("clip"), F.col("vec_id").alias("frame"), F.transform("embedding", value).alias("cells"))
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(channel, ts, serial, digits): events as a serial feed; ts as timestamp."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     digits = F.lpad(F.floor("value").cast("string"), 4, "0")
-    return e.select((F.col("user_id") % 8).alias("channel"), F.col("ts").cast("timestamp").alias("ts"), ((F.col("event_id") * 7919) % 10007).alias("serial"), digits.alias("digits"), "event_id", "user_id", "event_type", "value")
+    return e.select(F.col("user_id").alias("channel"), F.col("ts").cast("timestamp").alias("ts"), ((F.col("event_id") * 7919) % 10007).alias("serial"), digits.alias("digits"), "event_id", "user_id", "event_type", "value")
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +63,7 @@ ADAPTERS = {"cells": cells, "pixels": pixels, "feed": feed, "pieces": pieces, "s
 SQL = {
     "cells": "SELECT vec_id AS frame, CAST(i - 1 AS BIGINT) AS cell, CAST((i - 1) % 8 AS BIGINT) AS x, CAST(floor((i - 1) / 8) AS BIGINT) AS y, CAST(least(255, greatest(0, floor((CAST(embedding[i] AS DOUBLE) + 1) * 127.5))) AS BIGINT) AS value FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)",
     "pixels": "SELECT vec_id AS frame, CAST(p AS BIGINT) AS px, " + ", ".join(f"CAST(least(255, greatest(0, floor((CAST(embedding[p * 3 + {k}] AS DOUBLE) + 1) * 127.5))) AS BIGINT) AS {c}" for k, c in ((1, "r"), (2, "g"), (3, "b"))) + " FROM (SELECT vec_id, embedding, unnest(range(0, 21)) AS p FROM embeddings)",
-    "feed": "SELECT user_id % 8 AS channel, ts, (event_id * 7919) % 10007 AS serial, CASE WHEN length(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)) >= 4 THEN substr(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), 1, 4) ELSE lpad(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), 4, '0') END AS digits, event_id, user_id, event_type, value FROM events",
+    "feed": "SELECT user_id AS channel, ts, (event_id * 7919) % 10007 AS serial, CASE WHEN length(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)) >= 4 THEN substr(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), 1, 4) ELSE lpad(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), 4, '0') END AS digits, event_id, user_id, event_type, value FROM events",
     "pieces": "SELECT p_partkey AS id, p_brand AS codec, p_type AS role, CAST(p_size AS BIGINT) AS priority, CAST(floor(p_retailprice) AS BIGINT) AS bytes, p_retailprice AS metric FROM part",
     "slots": "SELECT l_orderkey * 10 + l_linenumber AS slot, CAST(floor(l_orderkey / 20) AS BIGINT) AS scene, CAST(l_linenumber * 3 % 16 AS BIGINT) AS x, l_suppkey % 8 AS y, CAST(1 + l_linenumber % 3 AS BIGINT) AS w, CAST(1 + l_linenumber % 3 AS BIGINT) AS h, l_orderkey % 500 AS start, l_orderkey % 500 + l_linenumber AS stop, l_suppkey % 2 AS flag FROM lineitem",
 }
