@@ -64,3 +64,41 @@ def sql_oklab() -> str:
     """L, a and b of r, g and b, for DuckDB."""
     lms = [" + ".join(f"{m}::DOUBLE * {sql_linear(c)}" for m, c in zip(row, "rgb", strict=True)) for row in RGB_LMS]
     return ", ".join("(" + " + ".join(f"({m}::DOUBLE) * cbrt({c})" for m, c in zip(row, lms, strict=True)) + f") AS {n}" for row, n in zip(LMS_LAB, ("ok_l", "ok_a", "ok_b"), strict=True))
+
+
+def linear_rgb(l: Column, a: Column, b: Column) -> list[Column]:  # noqa: E741
+    """Linear light of an Oklab colour, in or out of the gamut."""
+    return times(LMS_RGB, [c * c * c for c in times(LAB_LMS, [l, a, b])])
+
+
+def gamut_factor(rows: DataFrame, lab: tuple[str, str, str], steps: int = 16) -> DataFrame:
+    """Adds `fits` and `factor`, the share of the chroma that keeps a colour in sRGB, by halving `steps` times."""
+    l, a, b = (F.col(c) for c in lab)  # noqa: E741
+    inside = lambda k: F.forall(F.array(*linear_rgb(l, a * k, b * k)), lambda c: (c >= 0) & (c <= 1))
+
+    def half(at: Column, _: Column) -> Column:
+        mid = (at["lo"] + at["hi"]) * 0.5
+        good = inside(mid)
+        return F.struct(F.when(good, mid).otherwise(at["lo"]).alias("lo"), F.when(good, at["hi"]).otherwise(mid).alias("hi"))
+
+    out = rows.withColumn("fits", inside(F.lit(1.0)))
+    low = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), half)["lo"]
+    return out.withColumn("factor", F.when(F.col("fits"), 1.0).otherwise(low))
+
+
+def sql_linear_of(l: str, a: str, b: str) -> list[str]:  # noqa: E741
+    """Linear r, g and b of an Oklab colour, for DuckDB."""
+    lms = ["pow(" + " + ".join(f"{m}::DOUBLE * ({c})" for m, c in zip(row, (l, a, b), strict=True)) + ", 3)" for row in LAB_LMS]
+    return ["(" + " + ".join(f"({m}::DOUBLE) * {c}" for m, c in zip(row, lms, strict=True)) + ")" for row in LMS_RGB]
+
+
+def once(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """The kept columns and new ones, each computed once: a generator of one row, which no projection above is merged with."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_oklab(rows: DataFrame, keep: list[str], names: tuple[str, str, str] = ("l", "a", "b")) -> DataFrame:
+    """The kept columns and the Oklab colour of r, g and b, step by step."""
+    out = once(rows, keep, r_=linear(F.col("r")), g_=linear(F.col("g")), b_=linear(F.col("b")))
+    out = once(out, keep, **{n: F.cbrt(c) for n, c in zip(("l_", "m_", "s_"), times(RGB_LMS, [F.col(f"{c}_") for c in "rgb"]), strict=True)})
+    return once(out, keep, **dict(zip(names, times(LMS_LAB, [F.col(f"{c}_") for c in "lms"]), strict=True)))

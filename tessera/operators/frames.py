@@ -67,3 +67,37 @@ def nearest(points: DataFrame, centres: DataFrame, of: list[str], centre: str =
 
     best = F.array_min(F.transform("centres_", lambda c: F.struct(distance(c).alias("d"), c["id"].alias("id"))))
     return points.join(F.broadcast(packed)).select(*points.columns, best["id"].alias(centre), best["d"].alias("distance"))
+
+
+def interval_join(points: DataFrame, at: str, intervals: DataFrame, start: str, stop: str, width: int = 16) -> DataFrame:
+    """Each point with every interval that holds it, ends included: an equi-join on bins of `width`, then the exact test.
+
+    An interval stands once in each bin that it meets, a point in one, so no pair comes twice.
+    """
+    bins = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(stop) / width))
+    left = points.withColumn("bin_", F.floor(F.col(at) / width))
+    right = intervals.filter(F.col(start) <= F.col(stop)).withColumn("bin_", F.explode(bins))
+    return left.join(right, "bin_").filter((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(stop))).drop("bin_")
+
+
+def overlaps(slots: DataFrame, by: str, key: str, width: int = 8) -> DataFrame:
+    """Pairs (by, a, b), a < b, of slots that share cells and frames: an equi-join on bins of time.
+
+    A pair meets in several bins and counts in the first that both are in.
+    """
+    first = F.floor(F.col("start") / width)
+    binned = slots.withColumn("first_", first).withColumn("bin_", F.explode(F.sequence(first, F.floor(F.col("stop") / width))))
+    side = lambda s: binned.select(by, "bin_", *[F.col(c).alias(f"{s}_{c}") for c in (key, "x", "y", "w", "h", "start", "stop", "first_")])
+    both = side("a").join(side("b"), [by, "bin_"])
+    meet = lambda lo, size: (F.col(f"a_{lo}") < F.col(f"b_{lo}") + F.col(f"b_{size}")) & (F.col(f"b_{lo}") < F.col(f"a_{lo}") + F.col(f"a_{size}"))
+    when = (F.col("a_start") <= F.col("b_stop")) & (F.col("b_start") <= F.col("a_stop"))
+    own = F.col("bin_") == F.greatest("a_first_", "b_first_")
+    return both.filter((F.col(f"a_{key}") < F.col(f"b_{key}")) & meet("x", "w") & meet("y", "h") & when & own).select(by, F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"))
+
+
+def covered_cells(rects: DataFrame, columns: int, rows: int, *keep: str) -> DataFrame:
+    """(keep, cell, dx, dy) of each cell of a grid that a rectangle (x, y, w, h) holds; what is outside goes."""
+    inside = lambda at, size, most: F.sequence(F.greatest(F.col(at), F.lit(0)), F.least(F.col(at) + F.col(size), F.lit(most)) - 1)
+    some = rects.filter((F.col("w") > 0) & (F.col("h") > 0) & (F.col("x") < columns) & (F.col("y") < rows) & (F.col("x") + F.col("w") > 0) & (F.col("y") + F.col("h") > 0))
+    each = some.withColumn("cx_", F.explode(inside("x", "w", columns))).withColumn("cy_", F.explode(inside("y", "h", rows)))
+    return each.select(*keep, (F.col("cy_") * columns + F.col("cx_")).cast("bigint").alias("cell"), (F.col("cx_") - F.col("x")).alias("dx"), (F.col("cy_") - F.col("y")).alias("dy"))

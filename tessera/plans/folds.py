@@ -54,11 +54,6 @@ def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold(p, "role", ["rank", "id"], step, 0, "role string, id bigint, used bigint, taken boolean")
 
 
-@query("adaptive_blocks")
-def adaptive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = adapters.cells(spark, sf_dir).groupBy("frame").agg((F.avg("value") / 16).alias("score"))
-    rows = c.select(F.floor(F.col("frame") / 100).alias("clip"), "frame", "score")
-    return folds.fold(rows, "clip", ["frame"], folds.segment(0.58, 0.20, 5, 30), (-1, 0, None, None), "clip bigint, frame bigint, block bigint, reason string")
 
 
 @query("kmeans_full")
@@ -83,16 +78,6 @@ def palette_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.groupBy(F.lit(1).alias("all_")).applyInPandas(pair, "was bigint, now bigint")  # palettes have 256 entries at most
 
 
-@query("colour_bleed")
-def colour_bleed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells under 120 count as unknown and take their neighbours' mean, eight steps."""
-    ship(spark)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.sort_values("cell")["value"].to_numpy().reshape(8, 8)
-        return pd.DataFrame({"frame": int(pdf["frame"].iloc[0]), "cell": np.arange(64), "value": folds.bleed(m, m >= 120).ravel()})
-
-    return adapters.cells(spark, sf_dir).select("frame", "cell", "value").groupBy("frame").applyInPandas(run, "frame bigint, cell bigint, value bigint")
 
 
 @query("transcode_sweep")
@@ -114,8 +99,6 @@ def crc_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 sql_query("metadata_left_join", "SELECT p.id, p.codec, m.n, m.n IS NULL AS unlabelled FROM {pieces} p LEFT JOIN (SELECT l_partkey, count(*) AS n FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY l_partkey) m ON m.l_partkey = p.id")
 sql_query("stage_order", "SELECT stage, place FROM (VALUES ('scan', 0), ('segment', 1), ('palette', 2), ('quantise', 3), ('dither', 4), ('trellis', 5), ('emit', 6), ('write', 7)) AS t(stage, place)")
-sql_query("zone_loops", "WITH z AS (SELECT frame, CAST(floor(x / 4) + 2 * floor(y / 4) AS BIGINT) AS zone, avg(value) AS v FROM {cells} GROUP BY frame, CAST(floor(x / 4) + 2 * floor(y / 4) AS BIGINT)), d AS (SELECT a.zone, abs(a.v - b.v) < 6 AS same FROM z a JOIN z b ON a.zone = b.zone AND b.frame = a.frame + 15) SELECT zone, count(*) AS pairs, CAST(sum(CASE WHEN same THEN 1 ELSE 0 END) AS BIGINT) AS alike FROM d GROUP BY zone")
 sql_query("report_rows", "SELECT codec, concat(codec, ': ', CAST(count(*) AS {text}), ' files, ', CAST(sum(bytes) AS {text}), ' bytes') AS line FROM {pieces} GROUP BY codec")
 sql_query("versioned_names", "SELECT page_id, concat('clip.', substr(sha2(html, 256), 1, 12), '.bin') AS name, sha2(html, 256) AS sha FROM {pages}", "SELECT page_id, concat('clip.', substr(sha256(html), 1, 12), '.bin') AS name, sha256(html) AS sha FROM {pages}")
-sql_query("run_length_expand", "SELECT s.slot, e.vec_id AS frame, e.vec_id - s.start AS place FROM (SELECT slot, start, stop FROM {slots} WHERE slot % 7 = 1) s JOIN {embeddings} e ON e.vec_id >= s.start AND e.vec_id <= s.stop")
 sql_query("switch_latency", "WITH e AS (SELECT channel, ts, event_id, event_type FROM {feed}), s AS (SELECT channel, event_id AS began FROM e WHERE event_type = 'signup'), p AS (SELECT channel, event_id AS done FROM e WHERE event_type = 'purchase') SELECT s.channel, s.began, coalesce(min(p.done) - s.began, -1) AS latency FROM s LEFT JOIN p ON p.channel = s.channel AND p.done > s.began AND p.done <= s.began + 50 GROUP BY s.channel, s.began")

@@ -10,29 +10,7 @@ from tessera.plans.registry import query, sql_query
 from tessera.sources import adapters
 
 MOTION = "l AS (SELECT frame, cell, x, y, value, lag(value) OVER (PARTITION BY floor(frame / 250), cell ORDER BY frame) AS before FROM {cells}), m AS (SELECT frame, CAST(sum(abs(value - before)) AS BIGINT) AS motion FROM l WHERE before IS NOT NULL GROUP BY frame)"
-LAGS = "k AS (SELECT * FROM (VALUES (5), (10), (15), (20), (25)) AS t(d)), p AS (SELECT CAST(k.d AS BIGINT) AS lag_, a.frame, CAST(sum(abs(b.value - a.value)) AS BIGINT) AS diff FROM {cells} a CROSS JOIN k JOIN {cells} b ON b.frame = a.frame + k.d AND b.cell = a.cell GROUP BY k.d, a.frame)"
-
-sql_query("lag_difference_profile", f"WITH {LAGS} SELECT lag_, count(*) AS pairs, round(avg(diff), 6) AS mean_diff, min(diff) AS least FROM p GROUP BY lag_")
-RUNS = LAGS + """, t AS (SELECT lag_, frame FROM p WHERE diff < 1420), o AS (SELECT lag_, frame, CASE WHEN frame - lag(frame) OVER (PARTITION BY lag_ ORDER BY frame) <= 3 THEN 0 ELSE 1 END AS opens FROM t),
-n AS (SELECT lag_, frame, sum(opens) OVER (PARTITION BY lag_ ORDER BY frame) AS run FROM o), r AS (SELECT lag_, run, min(frame) AS first, max(frame) AS last, max(frame) - min(frame) + 1 AS length FROM n GROUP BY lag_, run),
-b AS (SELECT lag_, first, length, row_number() OVER (PARTITION BY lag_ ORDER BY length DESC, first) AS k FROM r), best AS (SELECT lag_, first, length FROM b WHERE k = 1)"""
-
-
-@query("longest_run", f"WITH {RUNS} SELECT lag_, first, length FROM best")
-def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = adapters.cells(spark, sf_dir)
-    lags = F.explode(F.array(*[F.lit(d).cast("bigint") for d in (5, 10, 15, 20, 25)])).alias("lag_")
-    ahead = c.select("cell", F.col("frame").alias("to_"), F.col("value").alias("other"))
-    pairs = c.select("frame", "cell", "value", lags).withColumn("to_", F.col("frame") + F.col("lag_")).join(ahead, ["cell", "to_"])
-    diff = pairs.groupBy("lag_", "frame").agg(F.sum(F.abs(F.col("other") - F.col("value"))).alias("diff")).filter("diff < 1420")
-    runs = frames.islands(diff, ["lag_"], "frame", gap=3).withColumn("length", F.col("last") - F.col("first") + 1)
-    best = runs.groupBy("lag_").agg(F.max_by(F.struct("first", "length"), F.struct("length", -F.col("first"))).alias("b"))
-    return best.select("lag_", "b.first", "b.length")
-
-
-sql_query("loop_detect", f"WITH {RUNS} SELECT lag_, first, length, CAST(floor(length / lag_) AS BIGINT) AS laps, length % lag_ AS tail FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN length >= lag_ THEN 0 ELSE 1 END, length DESC, lag_) AS k FROM best) WHERE k = 1")
 sql_query("zone_motion", f"WITH {MOTION} SELECT frame, CAST(floor(x / 4) AS BIGINT) AS zx, CAST(floor(y / 4) AS BIGINT) AS zy, round(avg(abs(value - before)), 6) AS motion FROM l WHERE before IS NOT NULL GROUP BY frame, CAST(floor(x / 4) AS BIGINT), CAST(floor(y / 4) AS BIGINT)")
-sql_query("first_eligible_period", f"WITH {LAGS}, a AS (SELECT lag_, avg(CASE WHEN diff < 1500 THEN 1.0e0 ELSE 0.0e0 END) AS area FROM p GROUP BY lag_), w AS (SELECT lag_, area, max(area) OVER () AS best FROM a) SELECT min(lag_) AS lag_, round(max(best), 6) AS best FROM w WHERE area >= best - 0.02e0")
 
 
 @query("moving_median", f"WITH {MOTION} SELECT frame, round(median(motion) OVER (PARTITION BY floor(frame / 250) ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) AS median FROM m")
@@ -46,7 +24,6 @@ def moving_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("frame", near.alias("near")).select("frame", F.round((low + high) / 2, 6).alias("median"))
 
 
-sql_query("loop_seam_percentile", f"WITH {MOTION}, s AS (SELECT frame, motion, frame % 25 = 0 AS seam FROM m) SELECT a.frame, a.motion, round(avg(CASE WHEN b.motion < a.motion THEN 1.0e0 ELSE 0.0e0 END), 6) AS share_below FROM s a JOIN s b ON b.frame BETWEEN a.frame - 20 AND a.frame + 20 AND NOT b.seam WHERE a.seam GROUP BY a.frame, a.motion")
 sql_query("empty_gaps", """
 WITH e AS (SELECT frame, max(value) AS top FROM {cells} GROUP BY frame), f AS (SELECT frame FROM e WHERE top >= 168),
 g AS (SELECT frame, lag(frame) OVER (PARTITION BY floor(frame / 250) ORDER BY frame) AS before FROM f)
@@ -63,7 +40,6 @@ WITH g AS (SELECT frame, cell, coalesce(lead(value) OVER (PARTITION BY frame, y
 SELECT frame, cell, round(1 + 4 * least(1.0e0, sqrt(CAST(dx * dx + dy * dy AS DOUBLE)) / 64), 6) AS weight FROM g""")
 sql_query("psnr_vs_quantized", "SELECT frame, CAST(sum((value % 8) * (value % 8)) AS BIGINT) AS sse, round(CASE WHEN sum((value % 8) * (value % 8)) = 0 THEN NULL ELSE 10 * log10(65025.0e0 * 64 / sum((value % 8) * (value % 8))) END, 6) AS psnr FROM {cells} GROUP BY frame")
 sql_query("banding_plateaus", "WITH n AS (SELECT frame, value, lead(value) OVER (PARTITION BY frame, y ORDER BY x) AS right_ FROM {cells}) SELECT frame, CAST(sum(CASE WHEN abs(right_ - value) BETWEEN 1 AND 8 THEN 1 ELSE 0 END) AS BIGINT) AS smooth, CAST(sum(CASE WHEN abs(right_ - value) BETWEEN 1 AND 8 AND (right_ - right_ % 16) = (value - value % 16) THEN 1 ELSE 0 END) AS BIGINT) AS plateau FROM n WHERE right_ IS NOT NULL GROUP BY frame")
-sql_query("banding_proxy", "WITH m AS (SELECT frame, floor(x / 2) AS bx, floor(y / 2) AS by_, avg(value) AS v, avg(value - value % 16) AS q FROM {cells} GROUP BY frame, floor(x / 2), floor(y / 2)), n AS (SELECT frame, abs(lead(v) OVER (PARTITION BY frame, by_ ORDER BY bx) - v) AS dv, abs(lead(q) OVER (PARTITION BY frame, by_ ORDER BY bx) - q) AS dq FROM m) SELECT frame, round(avg(greatest(0.0e0, dq - dv)), 6) AS extra_gradient FROM n WHERE dv <= 12 GROUP BY frame")
 sql_query("temporal_error", "WITH l AS (SELECT frame, value, lag(value) OVER (PARTITION BY floor(frame / 250), cell ORDER BY frame) AS before FROM {cells}) SELECT frame, round(avg(abs((value - value % 8) - (before - before % 8) - (value - before))), 6) AS temporal_error FROM l WHERE before IS NOT NULL GROUP BY frame")
 sql_query("ripple_p95", f"WITH {BOX}, r AS (SELECT frame, abs(value * 9 - box) AS ripple FROM c WHERE value < 128), k AS (SELECT frame, ripple, row_number() OVER (PARTITION BY frame ORDER BY ripple) AS k, count(*) OVER (PARTITION BY frame) AS n FROM r) SELECT frame, max(n) AS dark, CAST(max(CASE WHEN k = CAST(floor((n - 1) * 95 / 100) AS BIGINT) + 1 THEN ripple END) AS BIGINT) AS p95 FROM k GROUP BY frame")
 sql_query("luma_bias", "SELECT frame, round(CAST(sum(value - value % 8) - sum(value) AS DOUBLE) / count(*), 2) AS bias FROM {cells} GROUP BY frame")
@@ -71,11 +47,6 @@ sql_query("white_frames", "WITH f AS (SELECT frame, avg(value) AS mean, avg(CASE
 sql_query("top_whitest", "WITH f AS (SELECT frame, avg(value) AS mean FROM {cells} GROUP BY frame) SELECT frame, round(mean, 6) AS mean FROM f ORDER BY f.mean DESC, frame LIMIT 20")
 sql_query("tile_selection", "WITH t AS (SELECT frame, CAST(floor(y / 4) * 2 + floor(x / 4) AS BIGINT) AS tile, value, row_number() OVER (PARTITION BY frame, floor(y / 4), floor(x / 4) ORDER BY value) AS k FROM {cells}) SELECT frame, tile, max(CASE WHEN k = 15 THEN value END) - max(CASE WHEN k = 1 THEN value END) AS range_, CAST(sum((value % 8) * (value % 8)) AS BIGINT) AS error FROM t GROUP BY frame, tile")
 sql_query("hard_cuts", f"WITH {MOTION} SELECT frame, motion FROM m WHERE motion > 1500")
-sql_query("spatial_trellis", """
-WITH t AS (SELECT frame, CAST(floor(y / 4) * 2 + floor(x / 4) AS BIGINT) AS tile, CAST(floor(value / 16) AS BIGINT) AS v, count(*) AS n FROM {cells} GROUP BY frame, CAST(floor(y / 4) * 2 + floor(x / 4) AS BIGINT), CAST(floor(value / 16) AS BIGINT)),
-c AS (SELECT *, count(*) OVER (PARTITION BY frame, tile) AS kinds, row_number() OVER (PARTITION BY frame, tile ORDER BY n, v) AS rare FROM t),
-j AS (SELECT a.frame, a.tile, a.v AS merged, b.v AS into_, a.n * (a.v - b.v) * (a.v - b.v) AS cost FROM c a JOIN c b ON a.frame = b.frame AND a.tile = b.tile AND a.v <> b.v WHERE a.kinds IN (3, 5, 17) AND a.rare = 1)
-SELECT frame, tile, merged, into_, cost FROM (SELECT *, row_number() OVER (PARTITION BY frame, tile ORDER BY cost, into_) AS k FROM j) WHERE k = 1""")
 TILE = "t AS (SELECT frame, CAST(floor(y / 4) * 2 + floor(x / 4) AS BIGINT) AS tile, count(*) AS npix, count(DISTINCT value) AS kinds, CAST(sum(CASE WHEN before IS NULL OR before <> value THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM (SELECT *, lag(value) OVER (PARTITION BY floor(frame / 250), cell ORDER BY frame) AS before FROM (SELECT frame, cell, x, y, value - value % 32 AS value FROM {cells})) GROUP BY frame, CAST(floor(y / 4) * 2 + floor(x / 4) AS BIGINT))"
 OPS = TILE + ", o AS (SELECT *, CASE WHEN changed = 0 THEN 'SKIP' WHEN kinds = 1 THEN 'SOLID' WHEN 2 + 2 * changed <= least(3 + CAST(ceil(npix / 8) AS BIGINT), 2 + CAST(ceil(npix / 8) AS BIGINT) + changed) THEN 'SPARSE' WHEN kinds = 2 THEN 'PACK1' WHEN kinds <= 4 THEN 'PACK2' WHEN kinds <= 16 AND kinds + CAST(ceil(npix / 2) AS BIGINT) < 1 + npix THEN 'PAL4' ELSE 'PAL8' END AS opcode FROM t)"
 sql_query("tile_opcode_histogram", f"WITH {OPS} SELECT opcode, count(*) AS tiles, CAST(sum(changed) AS BIGINT) AS changed FROM o GROUP BY opcode")
@@ -88,5 +59,4 @@ sql_query("uvarint_length", "WITH v AS (SELECT o_orderkey AS id, CAST(floor(o_to
 sql_query("bit_packing", "SELECT frame, CAST(floor(cell / 4) AS BIGINT) AS byte_, CAST(sum((value % 4) * CAST(pow(4, cell % 4) AS BIGINT)) AS BIGINT) AS packed FROM {cells} GROUP BY frame, CAST(floor(cell / 4) AS BIGINT)")
 sql_query("bayer_dither", "SELECT frame, cell, CASE WHEN value % 16 > CAST(substr('00081002120414061303110115071309', CAST((y % 4) * 8 + (x % 4) * 2 + 1 AS INT), 2) AS BIGINT) THEN value - value % 16 + 16 ELSE value - value % 16 END AS dithered FROM {cells}")
 sql_query("confetti", "WITH n AS (SELECT DISTINCT frame FROM {cells}), h AS (SELECT frame, cell, (frame * 1103515245 + cell * 12345 + 67890) % 2147483648 AS h FROM {cells}) SELECT frame, cell, h % 8 AS px, CAST(floor(h / 8) AS BIGINT) % 8 AS py, abs(CAST(floor(h / 64) AS BIGINT) % 64 - 32) AS wave FROM h")
-sql_query("overlay_compose", "SELECT c.frame, c.cell, coalesce(max(CASE WHEN (c.x + c.y) % 5 <> 0 THEN 246 + s.slot % 6 END), c.value) AS shown FROM {cells} c LEFT JOIN (SELECT slot, x, y, w, h, start, stop FROM {slots} WHERE flag = 1 AND slot % 40 = 1) s ON c.frame BETWEEN s.start AND s.stop AND c.x >= s.x AND c.x < s.x + s.w AND c.y >= s.y AND c.y < s.y + s.h GROUP BY c.frame, c.cell, c.value")
 sql_query("bilinear_sample", "SELECT frame, cell, round((value + coalesce(lead(value) OVER (PARTITION BY frame, y ORDER BY x), value)) / 2.0e0, 6) AS mixed FROM {cells}")

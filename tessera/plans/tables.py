@@ -44,13 +44,6 @@ def exact_dedup_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(placed, "key").select("doc_id", "unique_id", "offset_", F.col("n").alias("bytes"))
 
 
-@query("byte_entropy", "WITH c AS (SELECT doc_id, substr(text, i, 1) AS ch FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM {documents})), h AS (SELECT doc_id, ch, count(*) AS n FROM c GROUP BY doc_id, ch), t AS (SELECT doc_id, n, sum(n) OVER (PARTITION BY doc_id) AS total FROM h) SELECT doc_id, CAST(max(total) AS BIGINT) AS n, round(-sum(n * log2(n / total)) / 8, 4) AS bytes FROM t GROUP BY doc_id")
-def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-0 entropy of each text's characters, in bytes: the cost estimate before deflating."""
-    d = adapters.frame(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "")).alias("ch")).filter("ch <> ''")
-    h = d.groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
-    total = F.sum("n")
-    return h.groupBy("doc_id").agg(total.alias("n"), F.round((total * F.log2(total) - F.sum(F.col("n") * F.log2("n"))) / 8, 4).alias("bytes"))
 
 
 sql_query("pointer_rules", "SELECT page_id, url, CASE WHEN url LIKE 'https://%' THEN 'secure' WHEN url LIKE 'http://%' THEN 'plain' ELSE 'other' END AS scheme, length(url) <= 60 AS short_enough, url LIKE '%?%' AS has_query FROM {pages}")
@@ -64,11 +57,8 @@ sql_query("alarm_predicates", "SELECT id, concat_ws(',', CASE WHEN metric > 1500
 sql_query("profile_defaults", "SELECT id, coalesce(CASE WHEN priority > 10 THEN priority END, 10) AS keyint, coalesce(CASE WHEN id % 3 = 0 THEN codec END, 'default') AS codec FROM {pieces}")
 sql_query("option_rules", "SELECT id, 'priority' AS rule FROM {pieces} WHERE priority > 45 UNION ALL SELECT id, 'bytes' AS rule FROM {pieces} WHERE bytes > 1900 UNION ALL SELECT id, 'both' AS rule FROM {pieces} WHERE priority > 45 AND bytes > 1900")
 
-sql_query("slots_at_frame", "SELECT s.slot, e.vec_id AS frame FROM {slots} s JOIN {embeddings} e ON e.vec_id BETWEEN s.start AND s.stop WHERE s.flag = 1 AND s.w = s.h")
-sql_query("slot_overlap_pairs", "SELECT a.scene, a.slot AS a, b.slot AS b FROM {slots} a JOIN {slots} b ON a.scene = b.scene AND a.slot < b.slot AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h AND a.start <= b.stop AND b.start <= a.stop")
 sql_query("slot_active_sweep", "WITH e AS (SELECT scene, start AS moment, w * h AS area FROM {slots} UNION ALL SELECT scene, stop + 1 AS moment, -(w * h) AS area FROM {slots}), d AS (SELECT scene, moment, CAST(sum(area) AS BIGINT) AS delta FROM e GROUP BY scene, moment) SELECT scene, moment, CAST(sum(delta) OVER (PARTITION BY scene ORDER BY moment) AS BIGINT) AS active FROM d")
 sql_query("slot_rules", "SELECT slot, 'bounds' AS rule FROM {slots} WHERE x + w > 16 OR y + h > 8 UNION ALL SELECT slot, 'order' AS rule FROM {slots} WHERE stop < start UNION ALL SELECT s.slot, 'reference' AS rule FROM {slots} s LEFT JOIN (SELECT DISTINCT scene FROM {slots} WHERE flag = 1) f ON f.scene = s.scene WHERE f.scene IS NULL")
-sql_query("rectangle_mask", "SELECT c.frame, c.cell FROM {cells} c WHERE EXISTS (SELECT 1 FROM {slots} s WHERE s.slot % 50 = 1 AND s.start <= c.frame AND s.stop >= c.frame AND c.x >= s.x AND c.x < s.x + s.w AND c.y >= s.y AND c.y < s.y + s.h)")
 sql_query("playable_semi", "SELECT p.id, p.role FROM {pieces} p WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_partkey = p.id AND l.l_returnflag = 'R')")
 sql_query("prune_anti", "SELECT p.id FROM {pieces} p WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_partkey = p.id AND l.l_quantity > 48)")
 sql_query("matrix_vs_reference", "WITH r AS (SELECT codec, min(id) AS id FROM {pieces} GROUP BY codec), f AS (SELECT p.codec, p.bytes FROM {pieces} p JOIN r ON r.id = p.id) SELECT p.id, p.codec, round(100.0e0 * p.bytes / f.bytes, 4) AS pct, p.bytes < f.bytes AS smaller FROM {pieces} p JOIN f ON f.codec = p.codec")
