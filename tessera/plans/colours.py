@@ -74,9 +74,6 @@ def oklab_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql_query("colour_keys", "SELECT frame, px, r * 65536 + g * 256 + b AS key24, CAST(floor(r / 8) * 1024 + floor(g / 8) * 32 + floor(b / 8) AS BIGINT) AS key15 FROM {pixels}")
-sql_query("colour_range_check", "SELECT frame, CAST(sum(CASE WHEN r < 80 OR r > 180 OR g < 80 OR g > 180 OR b < 80 OR b > 180 THEN 1 ELSE 0 END) AS BIGINT) AS refused, count(*) AS n FROM {pixels} GROUP BY frame")
-sql_query("sample_grid", "SELECT frame, cell, x, y, value FROM {cells} WHERE x IN (0, 2, 5, 7) AND y IN (0, 3, 7)")
-sql_query("frame_sample", "WITH n AS (SELECT count(*) AS n FROM {embeddings}), k AS (SELECT DISTINCT frame FROM {cells}) SELECT frame FROM k CROSS JOIN n WHERE CAST(floor((frame * 15) / (n.n - 1)) AS BIGINT) <> CAST(floor(((frame - 1) * 15) / (n.n - 1)) AS BIGINT) OR frame = 0")
 
 
 @query("nearest_center", f"WITH {NEAR} SELECT frame, px, centre, distance FROM near")

@@ -98,7 +98,6 @@ def crc_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql_query("metadata_left_join", "SELECT p.id, p.codec, m.n, m.n IS NULL AS unlabelled FROM {pieces} p LEFT JOIN (SELECT l_partkey, count(*) AS n FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY l_partkey) m ON m.l_partkey = p.id")
-sql_query("stage_order", "SELECT stage, place FROM (VALUES ('scan', 0), ('segment', 1), ('palette', 2), ('quantise', 3), ('dither', 4), ('trellis', 5), ('emit', 6), ('write', 7)) AS t(stage, place)")
 sql_query("report_rows", "SELECT codec, concat(codec, ': ', CAST(count(*) AS {text}), ' files, ', CAST(sum(bytes) AS {text}), ' bytes') AS line FROM {pieces} GROUP BY codec")
 sql_query("versioned_names", "SELECT page_id, concat('clip.', substr(sha2(html, 256), 1, 12), '.bin') AS name, sha2(html, 256) AS sha FROM {pages}", "SELECT page_id, concat('clip.', substr(sha256(html), 1, 12), '.bin') AS name, sha256(html) AS sha FROM {pages}")
 sql_query("switch_latency", "WITH e AS (SELECT channel, ts, event_id, event_type FROM {feed}), s AS (SELECT channel, event_id AS began FROM e WHERE event_type = 'signup'), p AS (SELECT channel, event_id AS done FROM e WHERE event_type = 'purchase') SELECT s.channel, s.began, coalesce(min(p.done) - s.began, -1) AS latency FROM s LEFT JOIN p ON p.channel = s.channel AND p.done > s.began AND p.done <= s.began + 50 GROUP BY s.channel, s.began")

@@ -56,7 +56,6 @@ sql_query("tile_size_sweep", "WITH s AS (SELECT * FROM (VALUES (2), (3), (4), (5
 sql_query("change_mask_bytes", "WITH l AS (SELECT frame, cell, CASE WHEN lag(value) OVER (PARTITION BY floor(frame / 250), cell ORDER BY frame) <> value THEN 1 ELSE 0 END AS changed FROM {cells}) SELECT frame, CAST(floor(cell / 8) AS BIGINT) AS byte_, CAST(sum(changed * CAST(pow(2, cell % 8) AS BIGINT)) AS BIGINT) AS mask FROM l GROUP BY frame, CAST(floor(cell / 8) AS BIGINT)")
 sql_query("sparse_offset_delta", "WITH l AS (SELECT frame, cell, value, lag(value) OVER (PARTITION BY floor(frame / 250), cell ORDER BY frame) AS before FROM {cells}), c AS (SELECT frame, cell, value FROM l WHERE before <> value) SELECT frame, cell, cell - coalesce(lag(cell) OVER (PARTITION BY frame ORDER BY cell), -1) - 1 AS delta, value FROM c")
 sql_query("uvarint_length", "WITH v AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice * 100) AS BIGINT) AS v FROM {orders}) SELECT id, v, CASE WHEN v < 128 THEN 1 WHEN v < 16384 THEN 2 WHEN v < 2097152 THEN 3 WHEN v < 268435456 THEN 4 ELSE 5 END AS bytes FROM v")
-sql_query("bit_packing", "SELECT frame, CAST(floor(cell / 4) AS BIGINT) AS byte_, CAST(sum((value % 4) * CAST(pow(4, cell % 4) AS BIGINT)) AS BIGINT) AS packed FROM {cells} GROUP BY frame, CAST(floor(cell / 4) AS BIGINT)")
 sql_query("bayer_dither", "SELECT frame, cell, CASE WHEN value % 16 > CAST(substr('00081002120414061303110115071309', CAST((y % 4) * 8 + (x % 4) * 2 + 1 AS INT), 2) AS BIGINT) THEN value - value % 16 + 16 ELSE value - value % 16 END AS dithered FROM {cells}")
 sql_query("confetti", "WITH n AS (SELECT DISTINCT frame FROM {cells}), h AS (SELECT frame, cell, (frame * 1103515245 + cell * 12345 + 67890) % 2147483648 AS h FROM {cells}) SELECT frame, cell, h % 8 AS px, CAST(floor(h / 8) AS BIGINT) % 8 AS py, abs(CAST(floor(h / 64) AS BIGINT) % 64 - 32) AS wave FROM h")
 sql_query("bilinear_sample", "SELECT frame, cell, round((value + coalesce(lead(value) OVER (PARTITION BY frame, y ORDER BY x), value)) / 2.0e0, 6) AS mixed FROM {cells}")

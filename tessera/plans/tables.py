@@ -9,13 +9,7 @@ from tessera.plans.registry import query, sql_query
 from tessera.sources import adapters
 
 sql_query("frame_rate_resample", "WITH n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM {embeddings}), o AS (SELECT vec_id AS out_frame, CAST(floor(vec_id * 24 / 15) AS BIGINT) AS source FROM {embeddings}) SELECT out_frame, source, CAST(e.label AS BIGINT) AS label FROM o JOIN {embeddings} e ON e.vec_id = o.source CROSS JOIN n")
-sql_query("grid_geometry", "SELECT p_partkey AS id, greatest(CAST(1 AS BIGINT), CAST(floor(80 * (p_size * 1.0e0) / (10 + p_partkey % 50) * 0.5e0 + 0.5e0) AS BIGINT)) AS rows_ FROM {part}")
 sql_query("thumbnail_scan", "WITH n AS (SELECT frame, cell, value FROM {cells}) SELECT CAST(floor((frame * 64 + cell) / 48) AS BIGINT) AS thumb, (frame * 64 + cell) % 48 AS place, value FROM n WHERE floor((frame * 64 + cell) / 48) < floor((SELECT count(*) FROM {cells}) / 48)")
-sql_query("probe_pairs", "SELECT p_partkey AS id, concat('width=', p_size * 16, ' height=', p_size * 9, ' fps=30000/1001') AS probe, p_size * 16 AS width, round(30000 / 1001.0e0, 6) AS fps FROM {part}".replace("p_size * 16 AS width", "CAST(p_size * 16 AS BIGINT) AS width"))
-sql_query("fps_literal", "SELECT p_partkey AS id, round(CASE WHEN p_partkey % 2 = 0 THEN 30000.0e0 / (1000 + p_partkey % 7) ELSE CAST(p_size AS DOUBLE) END, 6) AS fps FROM {part}")
-sql_query("metric_log_parse", r"SELECT p_partkey AS id, round(CAST(regexp_extract(concat('frame=', p_partkey, ' SSIM Y:0.', 1000 + p_size, ' All:0.9 PSNR average:', p_size, '.25'), 'Y:([0-9.]+)', 1) AS DOUBLE), 6) AS ssim_y, round(CAST(regexp_extract(concat('x average:', p_size, '.25'), 'average:([0-9.]+)', 1) AS DOUBLE), 6) AS psnr FROM {part}")
-sql_query("range_resolve", "WITH p AS (SELECT page_id, octet_length(html) AS total, page_id * 40 AS a FROM {pages}) SELECT page_id, CASE WHEN a >= total THEN 416 ELSE 206 END AS status, CASE WHEN a < total THEN a END AS first, CASE WHEN a < total THEN least(a + 999, total - 1) END AS last FROM p", "WITH p AS (SELECT page_id, octet_length(encode(html)) AS total, page_id * 40 AS a FROM {pages}) SELECT page_id, CASE WHEN a >= total THEN 416 ELSE 206 END AS status, CASE WHEN a < total THEN a END AS first, CASE WHEN a < total THEN least(a + 999, total - 1) END AS last FROM p")
-sql_query("feed_fields_valid", "SELECT event_id, serial, digits, length(digits) = 4 AND digits BETWEEN '0000' AND '9999' AS valid FROM {feed}")
 sql_query("manifest_rows", "SELECT id, concat(codec, '-', id) AS name, bytes, CASE WHEN priority > 25 THEN 'wide' ELSE 'narrow' END AS note FROM {pieces}")
 
 sql_query("header_fields", "SELECT page_id, CAST(ascii(substr(html, 1, 1)) + 256 * ascii(substr(html, 2, 1)) AS BIGINT) AS u16, CAST(ascii(substr(html, 3, 1)) AS BIGINT) AS u8, substr(html, 1, 4) AS magic FROM {pages}")
@@ -46,16 +40,8 @@ def exact_dedup_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-sql_query("pointer_rules", "SELECT page_id, url, CASE WHEN url LIKE 'https://%' THEN 'secure' WHEN url LIKE 'http://%' THEN 'plain' ELSE 'other' END AS scheme, length(url) <= 60 AS short_enough, url LIKE '%?%' AS has_query FROM {pages}")
 sql_query("url_token_append", "SELECT page_id, concat(CASE WHEN instr(url, '#') > 0 THEN substr(url, 1, instr(url, '#') - 1) ELSE url END, CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END, 't=', page_id, CASE WHEN instr(url, '#') > 0 THEN substr(url, instr(url, '#')) ELSE '' END) AS fresh FROM {pages}")
-sql_query("content_type_map", "SELECT page_id, CASE WHEN url LIKE '%.html%' THEN 'text/html' WHEN url LIKE '%.pdf%' THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime, url LIKE '%example.com%' AS immutable FROM {pages}")
 sql_query("fps_retime", "SELECT id, CAST(floor(bytes * 12 / 15.0e0 + 0.5e0) AS BIGINT) AS frames, bytes * 12 % 15 = 0 AS exact FROM {pieces}")
-sql_query("digit_layout", "SELECT event_id, place, CASE WHEN place < 5 - length(CAST(CAST(floor(value) AS BIGINT) AS {text})) THEN 10 ELSE CAST(substr(lpad(CAST(CAST(floor(value) AS BIGINT) AS {text}), 4, '0'), place, 1) AS BIGINT) END AS glyph FROM {feed} CROSS JOIN (SELECT CAST(k AS INT) AS place FROM (VALUES (1), (2), (3), (4)) AS t(k)) AS p")
-sql_query("payload_parse", "SELECT event_id, CAST(substr(digits, 1, 2) AS BIGINT) AS major, CAST(substr(digits, 3, 2) AS BIGINT) AS minor, CAST(substr(digits, 3, 2) AS BIGINT) < 60 AS in_range FROM {feed}")
-sql_query("level_lookup", "WITH t AS (SELECT * FROM (VALUES (1, 5), (2, 15), (3, 30), (4, 50)) AS v(level, most)) SELECT id, CAST(min(level) AS BIGINT) AS level FROM {pieces} JOIN t ON priority <= most GROUP BY id")
-sql_query("alarm_predicates", "SELECT id, concat_ws(',', CASE WHEN metric > 1500 THEN 'heavy' END, CASE WHEN priority < 5 THEN 'small' END, CASE WHEN bytes % 7 = 0 THEN 'odd' END) AS alarms FROM {pieces}")
-sql_query("profile_defaults", "SELECT id, coalesce(CASE WHEN priority > 10 THEN priority END, 10) AS keyint, coalesce(CASE WHEN id % 3 = 0 THEN codec END, 'default') AS codec FROM {pieces}")
-sql_query("option_rules", "SELECT id, 'priority' AS rule FROM {pieces} WHERE priority > 45 UNION ALL SELECT id, 'bytes' AS rule FROM {pieces} WHERE bytes > 1900 UNION ALL SELECT id, 'both' AS rule FROM {pieces} WHERE priority > 45 AND bytes > 1900")
 
 sql_query("slot_active_sweep", "WITH e AS (SELECT scene, start AS moment, w * h AS area FROM {slots} UNION ALL SELECT scene, stop + 1 AS moment, -(w * h) AS area FROM {slots}), d AS (SELECT scene, moment, CAST(sum(area) AS BIGINT) AS delta FROM e GROUP BY scene, moment) SELECT scene, moment, CAST(sum(delta) OVER (PARTITION BY scene ORDER BY moment) AS BIGINT) AS active FROM d")
 sql_query("slot_rules", "SELECT slot, 'bounds' AS rule FROM {slots} WHERE x + w > 16 OR y + h > 8 UNION ALL SELECT slot, 'order' AS rule FROM {slots} WHERE stop < start UNION ALL SELECT s.slot, 'reference' AS rule FROM {slots} s LEFT JOIN (SELECT DISTINCT scene FROM {slots} WHERE flag = 1) f ON f.scene = s.scene WHERE f.scene IS NULL")
@@ -64,14 +50,9 @@ sql_query("prune_anti", "SELECT p.id FROM {pieces} p WHERE NOT EXISTS (SELECT 1
 sql_query("matrix_vs_reference", "WITH r AS (SELECT codec, min(id) AS id FROM {pieces} GROUP BY codec), f AS (SELECT p.codec, p.bytes FROM {pieces} p JOIN r ON r.id = p.id) SELECT p.id, p.codec, round(100.0e0 * p.bytes / f.bytes, 4) AS pct, p.bytes < f.bytes AS smaller FROM {pieces} p JOIN f ON f.codec = p.codec")
 sql_query("ablation_delta", "SELECT id, codec, bytes - first_value(bytes) OVER (PARTITION BY codec ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS delta FROM {pieces}")
 sql_query("variant_cross", "SELECT a.codec, k.crf, concat(a.codec, '@', k.crf) AS variant FROM (SELECT DISTINCT codec FROM {pieces}) a CROSS JOIN (SELECT CAST(c AS BIGINT) AS crf FROM (VALUES (10), (18), (26), (34)) AS t(c)) k")
-sql_query("variant_parse", "WITH v AS (SELECT id, concat(codec, '@', priority) AS v FROM {pieces}) SELECT id, substr(v, 1, instr(v, '@') - 1) AS name, CAST(substr(v, instr(v, '@') + 1) AS BIGINT) AS crf FROM v")
 sql_query("recipe_strings", "SELECT id, concat_ws(' ', 'crf', CAST(priority AS {text}), CASE WHEN id % 2 = 0 THEN 'profile baseline' END, concat('g', CAST(bytes % 60 AS {text}))) AS recipe FROM {pieces}")
 sql_query("cut_plan", "SELECT id, priority AS intro, bytes % 97 AS period, round((bytes % 97 + 1) / 15.0e0, 6) AS loop_seconds, priority + bytes % 97 AS stop FROM {pieces}")
-sql_query("radio_plan", "SELECT id, coalesce(CASE codec WHEN 'Brand#1' THEN 'mp3' WHEN 'Brand#2' THEN 'ogg' END, 'webm') AS container FROM {pieces}")
-sql_query("residency_plan", "WITH o AS (SELECT id, role, priority, bytes, CAST(sum(bytes) OVER (PARTITION BY role ORDER BY priority, id) AS BIGINT) AS upto FROM {pieces}) SELECT id, role, upto, upto <= 20000 AS resident FROM o")
 sql_query("smallest_candidate", "WITH c AS (SELECT id, bytes AS n, 0 AS rank, 'raw' AS kind FROM {pieces} UNION ALL SELECT id, priority * 40 AS n, 1 AS rank, 'packed' AS kind FROM {pieces} UNION ALL SELECT id, bytes % 1000 + 300 AS n, 2 AS rank, 'delta' AS kind FROM {pieces}) SELECT id, kind, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n, rank) AS k FROM c) WHERE k = 1")
-sql_query("rank_by_ratio", "SELECT id, role, row_number() OVER (PARTITION BY role ORDER BY CAST(bytes AS DOUBLE) / priority DESC, id) AS place FROM {pieces}")
-sql_query("keypad_prefix", "WITH c AS (SELECT DISTINCT CAST(bytes AS {text}) AS code FROM {pieces}) SELECT a.code, CAST(count(b.code) AS BIGINT) AS longer FROM c a LEFT JOIN c b ON substr(b.code, 1, 3) = a.code AND b.code <> a.code GROUP BY a.code")
 sql_query("part_concatenation", "SELECT id, role, bytes, CAST(coalesce(sum(bytes) OVER (PARTITION BY role ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_ FROM {pieces}")
 sql_query("residency_totals", "SELECT role, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM {pieces} GROUP BY role")
 sql_query("memory_bound", "SELECT id, 64 * priority * 2 + 256 * 4 + 32 + bytes AS bytes_held FROM {pieces}")
@@ -82,11 +63,9 @@ ACCEPT = "a AS (SELECT channel, event_id, ts, serial, max(serial) OVER (PARTITIO
 sql_query("serial_monotone_accept", f"WITH {ACCEPT} SELECT channel, event_id, serial, top IS NULL OR serial > top AS accepted FROM a")
 sql_query("backoff_delay", "WITH e AS (SELECT channel, event_id, ts, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failed FROM {feed}), g AS (SELECT *, sum(1 - failed) OVER (PARTITION BY channel ORDER BY ts, event_id) AS island FROM e), r AS (SELECT channel, event_id, failed, CAST(sum(failed) OVER (PARTITION BY channel, island ORDER BY ts, event_id) AS BIGINT) AS failures FROM g) SELECT channel, event_id, failures, CAST(least(16000, 1000 * pow(2, failures)) AS BIGINT) AS delay FROM r")
 sql_query("hysteresis_latch", "WITH q AS (SELECT channel, event_id, ts, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) / 8.0e0 AS share FROM {feed}), d AS (SELECT *, CASE WHEN share >= 0.7e0 THEN 1 WHEN share < 0.45e0 THEN 0 END AS decisive FROM q) SELECT channel, event_id, round(share, 6) AS share, coalesce(last_value(decisive IGNORE NULLS) OVER (PARTITION BY channel ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS latched FROM d")
-sql_query("gesture_guard", "WITH t AS (SELECT user_id, event_id, ts, event_type, CASE WHEN event_type = 'view' THEN event_id END AS touch FROM {feed}), l AS (SELECT *, last_value(touch IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_touch FROM t) SELECT user_id, event_id, last_touch IS NULL OR event_id - last_touch > 200 AS accepted FROM l WHERE event_type = 'click'")
 sql_query("drop_accounting", f"WITH {ACCEPT} SELECT channel, count(*) AS seen, CAST(sum(CASE WHEN top IS NULL OR serial > top THEN 1 ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN serial < top THEN 1 ELSE 0 END) AS BIGINT) AS late FROM a GROUP BY channel")
 sql_query("quality_gates", "SELECT event_type, round(avg(value), 6) AS mean, max(value) <= 1000 AS start_gate, avg(CASE WHEN value > 90 THEN 1.0e0 ELSE 0.0e0 END) <= 0.03e0 AS dropped_gate FROM {feed} GROUP BY event_type")
 sql_query("frame_at_clock", "WITH t AS (SELECT channel, event_id, ts, CAST(floor(value * 15) AS BIGINT) AS frame FROM {feed}) SELECT channel, event_id, frame, greatest(CAST(0 AS BIGINT), lead(frame) OVER (PARTITION BY channel ORDER BY ts, event_id) - frame - 1) AS dropped FROM t")
-sql_query("ring_sequence", "SELECT event_id, 1 + (event_id - 1) % 7 AS piece FROM {feed} WHERE event_id >= 1")
 sql_query("text_layer_latest", "SELECT channel, digits FROM (SELECT channel, digits, row_number() OVER (PARTITION BY channel ORDER BY ts DESC, event_id DESC) AS k FROM {feed}) WHERE k = 1")
 sql_query("keyed_upsert_latest", "SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM {feed}) WHERE k = 1")
 sql_query("cache_ensure", "SELECT p.id, CASE WHEN l.l_partkey IS NULL THEN 'network' ELSE 'cache' END AS origin FROM {pieces} p LEFT JOIN (SELECT DISTINCT l_partkey FROM {lineitem} WHERE l_linenumber = 1) l ON l.l_partkey = p.id")
