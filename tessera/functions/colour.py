@@ -102,3 +102,15 @@ def with_oklab(rows: DataFrame, keep: list[str], names: tuple[str, str, str] = (
     out = once(rows, keep, r_=linear(F.col("r")), g_=linear(F.col("g")), b_=linear(F.col("b")))
     out = once(out, keep, **{n: F.cbrt(c) for n, c in zip(("l_", "m_", "s_"), times(RGB_LMS, [F.col(f"{c}_") for c in "rgb"]), strict=True)})
     return once(out, keep, **dict(zip(names, times(LMS_LAB, [F.col(f"{c}_") for c in "lms"]), strict=True)))
+
+
+#: Weights of red and blue in luma.
+KR, KB = 0.2126, 0.0722
+
+
+def from_yuv(y: Column, cb: Column, cr: Column) -> list[Column]:
+    """Bytes of colour of limited-range planes."""
+    luma, u, v = (y - 16) * 255 / F.lit(219.0), (cb - 128) * 255 / F.lit(224.0), (cr - 128) * 255 / F.lit(224.0)
+    kg = 1 - KR - KB
+    light = (luma + 2 * (1 - KR) * v, luma - 2 * KB * (1 - KB) / kg * u - 2 * KR * (1 - KR) / kg * v, luma + 2 * (1 - KB) * u)
+    return [F.greatest(F.lit(0), F.least(F.lit(255), F.rint(c).cast("bigint"))) for c in light]

@@ -65,20 +65,35 @@ def assign_greedily(costs: np.ndarray) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def kmeans(points: DataFrame, of: list[str], k: int, steps: int, weight: str = "weight") -> DataFrame:
+def stabilise(palette: np.ndarray, before: np.ndarray, strength: float) -> np.ndarray:
+    """A palette in the order of the one before, each entry where its nearest was, drawn to that by `strength`.
+
+    Palettes of another size than the one before stay as they are.
+    """
+    if palette.shape != before.shape or not len(palette):
+        return np.clip(np.rint(palette), 0, 255).astype(np.int64)
+    costs = ((before[:, None] - palette[None]) ** 2).sum(2)
+    order = np.array([c for _, c in assign_greedily(costs)])
+    return np.clip(np.rint((1 - strength) * palette[order] + strength * before), 0, 255).astype(np.int64)
+
+
+def kmeans(points: DataFrame, of: list[str], k: int, steps: int, weight: str = "weight", spread: bool = False) -> DataFrame:
     """Weighted k-means of aggregated points: farthest-point start, `steps` Lloyd rounds.
 
     Only the k centres (k at most 256) come to the driver in a round. The start is the point of the
-    greatest weight; ties go to the least values. An empty cluster keeps its centre.
+    greatest weight, with `spread` that of the greatest weight times squared distance from the mean, and
+    distances count times the weight; ties go to the least values. An empty cluster keeps its centre.
     """
     spark = points.sparkSession
-    first = points.orderBy(F.desc(weight), *of).select(*of).first()
+    mean = points.agg(*[(F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(c) for c in of]).first()
+    far_off = sum(((F.col(c) - F.lit(mean[c])) ** 2 for c in of[1:]), (F.col(of[0]) - F.lit(mean[of[0]])) ** 2) * F.col(weight)
+    first = points.orderBy(F.desc(far_off) if spread else F.desc(weight), *of).select(*of).first()
     if first is None:
         return spark.createDataFrame([], "centre bigint, " + ", ".join(f"{c} double" for c in of) + ", n bigint")
     centres = [tuple(float(v) for v in first)]
     frame = lambda: spark.createDataFrame([(i, *c) for i, c in enumerate(centres)], "centre bigint, " + ", ".join(f"{c} double" for c in of))
     while len(centres) < k:
-        far = nearest(points, frame(), of).orderBy(F.desc("distance"), *of).select(*of, "distance").first()
+        far = nearest(points, frame(), of).orderBy(F.desc(F.col("distance") * F.col(weight)) if spread else F.desc("distance"), *of).select(*of, "distance").first()
         if far["distance"] == 0:
             break
         centres.append(tuple(float(far[c]) for c in of))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import codecs, colours, folds, frames, loops, rules, scenes, sequences, tables
+from tessera.plans import codecs, colours, files, folds, frames, loops, rules, scenes, sequences, tables
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "codecs", "colours", "folds", "frames", "loops", "rules", "scenes", "sequences", "tables"]
+__all__ = ["ORACLES", "QUERIES", "codecs", "colours", "files", "folds", "frames", "loops", "rules", "scenes", "sequences", "tables"]

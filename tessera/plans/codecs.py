@@ -27,11 +27,6 @@ for number in (1, 2, 3):
     query(f"container_round_trip_v{number}", CELLS)(lambda spark, sf_dir, v=number: round_trip(spark, sf_dir, v))
 
 
-@query("frame_directory")
-def frame_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The directory of the clips: tags, sizes and offsets, no cells."""
-    packed = clips.packed_cells(adapters.cells(spark, sf_dir))
-    return clips.decoded(clips.encoded(packed, 8, 8, 3, tile_size=4), with_cells=False).select("path", "frame", "tag", "keyframe", "pal_count", "offset", "block_bytes")
 
 
 @query("zlib_size")
@@ -46,19 +41,3 @@ def zlib_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.frame(spark, sf_dir, "documents").select("doc_id", size("text").alias("bytes"))
 
 
-@query("trellis_temporal_fold", """
-WITH RECURSIVE o AS (SELECT cell, value, row_number() OVER (PARTITION BY cell ORDER BY frame) AS k, frame FROM {cells}),
-r AS (SELECT cell, k, frame, value AS emitted FROM o WHERE k = 1 UNION ALL SELECT o.cell, o.k, o.frame, CASE WHEN abs(o.value - r.emitted) <= 6 THEN r.emitted ELSE o.value END AS emitted FROM r JOIN o ON o.cell = r.cell AND o.k = r.k + 1)
-SELECT frame, cell, emitted FROM r""")
-def trellis_temporal_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keep the emitted value while the new one is within 6 of it: an ordered fold by cell."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        out, last = [], None
-        for v in pdf["value"].tolist():
-            last = last if last is not None and abs(v - last) <= 6 else v
-            out.append(last)
-        return pd.DataFrame({"frame": pdf["frame"], "cell": pdf["cell"], "emitted": out})
-
-    return adapters.cells(spark, sf_dir).select("frame", "cell", "value").groupBy("cell").applyInPandas(fold, "frame bigint, cell bigint, emitted bigint")

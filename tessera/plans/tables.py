@@ -9,10 +9,8 @@ from tessera.plans.registry import query, sql_query
 from tessera.sources import adapters
 
 sql_query("frame_rate_resample", "WITH n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM {embeddings}), o AS (SELECT vec_id AS out_frame, CAST(floor(vec_id * 24 / 15) AS BIGINT) AS source FROM {embeddings}) SELECT out_frame, source, CAST(e.label AS BIGINT) AS label FROM o JOIN {embeddings} e ON e.vec_id = o.source CROSS JOIN n")
-sql_query("thumbnail_scan", "WITH n AS (SELECT frame, cell, value FROM {cells}) SELECT CAST(floor((frame * 64 + cell) / 48) AS BIGINT) AS thumb, (frame * 64 + cell) % 48 AS place, value FROM n WHERE floor((frame * 64 + cell) / 48) < floor((SELECT count(*) FROM {cells}) / 48)")
 sql_query("manifest_rows", "SELECT id, concat(codec, '-', id) AS name, bytes, CASE WHEN priority > 25 THEN 'wide' ELSE 'narrow' END AS note FROM {pieces}")
 
-sql_query("header_fields", "SELECT page_id, CAST(ascii(substr(html, 1, 1)) + 256 * ascii(substr(html, 2, 1)) AS BIGINT) AS u16, CAST(ascii(substr(html, 3, 1)) AS BIGINT) AS u8, substr(html, 1, 4) AS magic FROM {pages}")
 sql_query("offset_table", "SELECT vec_id AS frame, 32 + coalesce(CAST(sum(20 + label) OVER (PARTITION BY floor(vec_id / 250) ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS offset_, CAST(20 + label AS BIGINT) AS block_bytes FROM {embeddings}")
 
 
