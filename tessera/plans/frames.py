@@ -67,7 +67,7 @@ SELECT frame, cell, value, CAST(sum(row_sum) OVER (PARTITION BY frame, x ORDER B
 
 sql_query("keyframe_schedule", f"""
 WITH l AS ({LAGGED}), f AS (SELECT frame, CAST(sum(abs(value - coalesce(before, value))) AS BIGINT) AS moved FROM l GROUP BY frame),
-k AS (SELECT frame, moved, moved > 1500 AS hard_cut, frame % 15 = 0 OR moved > 1500 AS is_key FROM f),
+k AS (SELECT frame, moved, moved > 1250 AS hard_cut, frame % 15 = 0 OR moved > 1250 AS is_key FROM f),
 g AS (SELECT *, CAST(sum(CASE WHEN is_key THEN 1 ELSE 0 END) OVER (PARTITION BY floor(frame / 250) ORDER BY frame) AS BIGINT) AS key_group FROM k)
 SELECT frame, moved, hard_cut, is_key, key_group, row_number() OVER (PARTITION BY floor(frame / 250), key_group ORDER BY frame) - 1 AS chain FROM g""")
 

@@ -46,8 +46,8 @@ sql_query("luma_bias", "SELECT frame, round(CAST(sum(value - value % 8) - sum(va
 sql_query("white_frames", "WITH f AS (SELECT frame, avg(value) AS mean, avg(CASE WHEN value >= 140 THEN 1.0e0 ELSE 0.0e0 END) AS white FROM {cells} GROUP BY frame) SELECT frame, round(mean, 6) AS mean, round(white, 6) AS white, white >= 0.3e0 AS near_white, round(abs(mean - lag(mean) OVER (PARTITION BY floor(frame / 250) ORDER BY frame)), 6) AS jump FROM f")
 sql_query("top_whitest", "WITH f AS (SELECT frame, avg(value) AS mean FROM {cells} GROUP BY frame) SELECT frame, round(mean, 6) AS mean FROM f ORDER BY f.mean DESC, frame LIMIT 20")
 sql_query("tile_selection", "WITH t AS (SELECT frame, CAST(floor(y / 4) * 2 + floor(x / 4) AS BIGINT) AS tile, value, row_number() OVER (PARTITION BY frame, floor(y / 4), floor(x / 4) ORDER BY value) AS k FROM {cells}) SELECT frame, tile, max(CASE WHEN k = 15 THEN value END) - max(CASE WHEN k = 1 THEN value END) AS range_, CAST(sum((value % 8) * (value % 8)) AS BIGINT) AS error FROM t GROUP BY frame, tile")
-sql_query("hard_cuts", f"WITH {MOTION} SELECT frame, motion FROM m WHERE motion > 1500")
-TILE = "t AS (SELECT frame, CAST(floor(y / 4) * 2 + floor(x / 4) AS BIGINT) AS tile, count(*) AS npix, count(DISTINCT value) AS kinds, CAST(sum(CASE WHEN before IS NULL OR before <> value THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM (SELECT *, lag(value) OVER (PARTITION BY floor(frame / 250), cell ORDER BY frame) AS before FROM (SELECT frame, cell, x, y, value - value % 32 AS value FROM {cells})) GROUP BY frame, CAST(floor(y / 4) * 2 + floor(x / 4) AS BIGINT))"
+sql_query("hard_cuts", f"WITH {MOTION} SELECT frame, motion FROM m WHERE motion > 1250")
+TILE = "t AS (SELECT frame, CAST(floor(y / 4) * 2 + floor(x / 4) AS BIGINT) AS tile, count(*) AS npix, count(DISTINCT value) AS kinds, CAST(sum(CASE WHEN before IS NULL OR before <> value THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM (SELECT *, lag(value) OVER (PARTITION BY floor(frame / 250), cell ORDER BY frame) AS before FROM (SELECT frame, cell, x, y, CASE WHEN value >= 156 THEN value - value % 16 ELSE 96 END AS value FROM {cells})) GROUP BY frame, CAST(floor(y / 4) * 2 + floor(x / 4) AS BIGINT))"
 OPS = TILE + ", o AS (SELECT *, CASE WHEN changed = 0 THEN 'SKIP' WHEN kinds = 1 THEN 'SOLID' WHEN 2 + 2 * changed <= least(3 + CAST(ceil(npix / 8) AS BIGINT), 2 + CAST(ceil(npix / 8) AS BIGINT) + changed) THEN 'SPARSE' WHEN kinds = 2 THEN 'PACK1' WHEN kinds <= 4 THEN 'PACK2' WHEN kinds <= 16 AND kinds + CAST(ceil(npix / 2) AS BIGINT) < 1 + npix THEN 'PAL4' ELSE 'PAL8' END AS opcode FROM t)"
 sql_query("tile_opcode_histogram", f"WITH {OPS} SELECT opcode, count(*) AS tiles, CAST(sum(changed) AS BIGINT) AS changed FROM o GROUP BY opcode")
 sql_query("skip_runs", f"WITH {OPS}, s AS (SELECT frame, tile, tile - row_number() OVER (PARTITION BY frame ORDER BY tile) AS g FROM o WHERE opcode = 'SKIP') SELECT frame, min(tile) AS first_tile, count(*) AS run FROM s GROUP BY frame, g")

@@ -85,6 +85,6 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 sql_query("rollup_orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 sql_query("cube_parts", "SELECT codec, priority % 5 AS band, count(*) AS n FROM {pieces} GROUP BY CUBE (codec, priority % 5)".replace("priority % 5 AS band", "band").replace("CUBE (codec, priority % 5)", "CUBE (codec, band)").replace("{pieces}", "(SELECT codec, priority % 5 AS band FROM {pieces}) AS p"))
 sql_query("set_intersect", "SELECT c_nationkey AS nation FROM {customer} INTERSECT SELECT s_nationkey AS nation FROM {supplier}")
-sql_query("set_except", "SELECT c_custkey AS id FROM {customer} EXCEPT SELECT o_custkey AS id FROM {orders}")
+sql_query("set_except", "SELECT c_custkey AS id FROM {customer} EXCEPT SELECT o_custkey AS id FROM {orders} WHERE o_totalprice > 480000")
 sql_query("outer_join_nations", "SELECT n.n_name, count(DISTINCT c.c_custkey) AS customers, count(DISTINCT s.s_suppkey) AS suppliers FROM {nation} n LEFT JOIN {customer} c ON c.c_nationkey = n.n_nationkey LEFT JOIN {supplier} s ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name")
 sql_query("pricing_summary", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS discount, count(*) AS n FROM {lineitem} GROUP BY l_returnflag, l_linestatus")
