@@ -45,3 +45,22 @@ def test_rows_without_an_own_id_go_for_their_text_alone(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert {x["text"] for x in decontaminate.clean(docs, bench).collect()} == {texts[0], texts[6], None}
+
+
+def test_stages_on_an_empty_table_and_without_ids(spark, empty):
+    now = empty
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.columns == empty.columns and now.count() == 0, name
+    assert corpus_pipeline.tokens(spark, empty, SF).count() == 0
+    r = random.Random(5)
+    made = lambda: " ".join(r.choice(["the", "of", "and", "stone", "river", "walks"]) + r.choice("aeiou") for _ in range(40))
+    texts = [made() for _ in range(6)]
+    rows = [(None, t, "en", "s", 1) for t in [*texts, texts[0], None, "", "mail a@b.co " + made()]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted(x["text"] or "" for x in kept.collect()) == sorted([*texts, "", rows[-1][1]])
+    assert corpus_pipeline.decontamination(spark, docs, SF).count() == len(rows)
+    masked = [x["text"] for x in corpus_pipeline.personal_data(spark, docs, SF).collect()]
+    assert len(masked) == len(rows) and None in masked and sum("<EMAIL>" in (t or "") for t in masked) == 1
+    assert corpus_pipeline.tokens(spark, docs, SF).filter("doc_id is null").count() == len(rows)
