@@ -101,10 +101,6 @@ def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 sql_query("color_aggregate", "SELECT r * 65536 + g * 256 + b AS key24, count(*) AS weight, min(frame) AS first_frame FROM {pixels} GROUP BY r * 65536 + g * 256 + b")
 sql_query("distinct_colours", "SELECT frame, count(DISTINCT r * 65536 + g * 256 + b) AS colours FROM {pixels} GROUP BY frame")
-sql_query("weighted_quantile_sample", """
-WITH a AS (SELECT r * 65536 + g * 256 + b AS k, count(*) AS w FROM {pixels} GROUP BY r * 65536 + g * 256 + b),
-c AS (SELECT k, w, CAST(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto, CAST(sum(w) OVER () AS BIGINT) AS total FROM a)
-SELECT k AS key24, w AS weight, CAST(ceil(upto * 64 / total - 0.5) - ceil((upto - w) * 64 / total - 0.5) AS BIGINT) AS draws FROM c WHERE ceil(upto * 64 / total - 0.5) - ceil((upto - w) * 64 / total - 0.5) > 0""")
 sql_query("canonical_palette_sort", f"WITH {PALETTE} SELECT idx, pr, pg, pb, row_number() OVER (ORDER BY pr, pg, pb, idx) - 1 AS place FROM palette")
 sql_query("pair_search", f"WITH {CENTRES_SQL}, p AS (SELECT a.centre AS base, b.centre AS partner, k, abs(4 * 128 - ((4 - k) * a.cr + k * b.cr)) + abs(4 * 96 - ((4 - k) * a.cg + k * b.cg)) AS err FROM centres a CROSS JOIN centres b CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS t(k)) SELECT CAST(base AS BIGINT) AS base, CAST(partner AS BIGINT) AS partner, CAST(k AS BIGINT) AS coverage, CAST(err AS BIGINT) AS error FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY err, partner, k) AS rank FROM p) WHERE rank = 1")
 sql_query("monotone_refit", f"WITH {NEAR}, m AS (SELECT centre, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, CAST(sum(distance) AS BIGINT) AS was FROM near GROUP BY centre), e AS (SELECT n.centre, sum((r - mr) * (r - mr) + (g - mg) * (g - mg) + (b - mb) * (b - mb)) AS now, max(was) AS was FROM near n JOIN m ON n.centre = m.centre GROUP BY n.centre) SELECT centre, was, round(now, 4) AS now, now < was AS accepted FROM e")

@@ -322,3 +322,32 @@ def decode_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame(out, columns=["frames", "ms_per_frame"])
 
     return clip_files(spark, sf_dir).select("path", timed("content").alias("t")).select("path", "t.*")
+
+
+@query("frame_rate_resample", """WITH o AS (SELECT vec_id, vec_id // 250 AS clip, vec_id % 250 AS i FROM {embeddings}), s AS (SELECT *, CAST(floor(CASE clip % 3 WHEN 0 THEN i * 24 / 15 WHEN 2 THEN i * 12.5 / 15 ELSE i END) AS BIGINT) AS source FROM o)
+  SELECT s.clip, s.i AS out_frame, source, CAST(e.label AS BIGINT) AS label FROM s JOIN {embeddings} e ON e.vec_id = s.clip * 250 + source AND source < 250""")
+def frame_rate_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each output frame shows the source's frame of its moment: frames repeat or drop. A rate that is none, or
+    not between 0 and 1000, counts as the wanted one."""
+    wanted = 15.0
+    e = adapters.frame(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / adapters.CLIP).alias("clip"), (F.col("vec_id") % adapters.CLIP).alias("i"), F.col("label").cast("bigint").alias("label"))
+    told = F.when(F.col("clip") % 3 == 0, 24.0).when(F.col("clip") % 3 == 1, F.lit(float("nan"))).otherwise(12.5)
+    fps = F.when(F.isnan(told) | (told <= 0) | (told >= 1000), wanted).otherwise(told)
+    out = e.select("clip", F.col("i").alias("out_frame"), F.floor(F.col("i") * fps / wanted).alias("source"))
+    return out.join(e.select("clip", F.col("i").alias("source"), "label"), ["clip", "source"]).select("clip", "out_frame", "source", "label")
+
+
+@query("weighted_quantile_sample", """
+WITH a AS (SELECT r * 65536 + g * 256 + b AS k, count(*) AS w FROM {pixels} GROUP BY r * 65536 + g * 256 + b),
+c AS (SELECT k, w, CAST(sum(w) OVER (ORDER BY k) AS BIGINT) AS upto, CAST(sum(w) OVER () AS BIGINT) AS total FROM a)
+SELECT k AS key24, w AS weight, CAST(ceil(upto * 64 / total - 0.5) - ceil((upto - w) * 64 / total - 0.5) AS BIGINT) AS draws FROM c WHERE ceil(upto * 64 / total - 0.5) - ceil((upto - w) * 64 / total - 0.5) > 0""")
+def weighted_quantile_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64 draws at even places of the cumulative weight. The running sum is taken over ranges of keys, then within each."""
+    a = adapters.pixels(spark, sf_dir).groupBy(colour.key24(F.col("r"), F.col("g"), F.col("b")).alias("k")).agg(F.count("*").alias("w")).withColumn("part_", F.floor(F.col("k") / 65536))
+    parts = a.groupBy("part_").agg(F.sum("w").alias("sum_"))  # 256 ranges at most
+    base = F.sum("sum_").over(Window.orderBy("part_")) - F.col("sum_")
+    before = parts.withColumn("base_", base).withColumn("total", F.sum("sum_").over(Window.partitionBy(F.lit(0))))
+    upto = F.col("base_") + F.sum("w").over(Window.partitionBy("part_").orderBy("k"))
+    c = a.join(F.broadcast(before.select("part_", "base_", "total")), "part_").withColumn("upto", upto)
+    place = lambda x: F.ceil(x * 64 / F.col("total") - 0.5)
+    return c.withColumn("draws", place(F.col("upto")) - place(F.col("upto") - F.col("w"))).filter("draws > 0").select(F.col("k").alias("key24"), F.col("w").alias("weight"), "draws")
