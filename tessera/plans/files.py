@@ -351,3 +351,51 @@ def weighted_quantile_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = a.join(F.broadcast(before.select("part_", "base_", "total")), "part_").withColumn("upto", upto)
     place = lambda x: F.ceil(x * 64 / F.col("total") - 0.5)
     return c.withColumn("draws", place(F.col("upto")) - place(F.col("upto") - F.col("w"))).filter("draws > 0").select(F.col("k").alias("key24"), F.col("w").alias("weight"), "draws")
+
+
+@query("clip_difference", """SELECT frame, count(*) AS cells, CASE WHEN frame % 10 = 7 THEN 0 ELSE count(*) END AS others, CASE WHEN frame % 10 = 7 THEN 0 ELSE count_if(value % 4 = 0) END AS equal_cells,
+  min(CASE WHEN frame % 10 = 7 OR value % 4 <> 0 THEN cell END) AS first_difference FROM {cells} GROUP BY frame""")
+def clip_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two clips frame by frame: the cells, and a decoded coarser clip that lacks one frame of ten."""
+    a = adapters.packed(spark, sf_dir).select("frame", F.posexplode("cells").alias("cell", "v"))
+    coarse = adapters.cells(spark, sf_dir).filter("frame % 10 <> 7").withColumn("value", F.col("value") - F.col("value") % 4)
+    decoded_ = clips.decoded(clips.encoded(clips.packed_cells(coarse), 8, 8, 3, tile_size=4))
+    # a clip's frames are numbered from 0, so the frames that are there are put beside their numbers
+    there = coarse.select("frame").distinct().withColumn("path", F.floor(F.col("frame") / 50).cast("string"))
+    there = there.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("frame")) - 1)
+    frames_ = decoded_.select("path", F.col("frame").alias("k"), "cells").join(there, ["path", "k"])
+    b = frames_.select("frame", "cells", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("cell")).select("frame", "cell", F.conv(F.hex(F.substring("cells", F.col("cell") + 1, F.lit(1))), 16, 10).cast("int").alias("w"))
+    both = a.join(b, ["frame", "cell"], "full_outer")
+    same = F.col("v").eqNullSafe(F.col("w"))
+    return both.groupBy("frame").agg(F.count("v").alias("cells"), F.count("w").alias("others"), F.count_if(same).alias("equal_cells"), F.min(F.when(~same, F.col("cell").cast("bigint"))).alias("first_difference"))
+
+
+@query("alpha_clean_crop", """WITH p AS (SELECT frame, px % 7 AS x, px // 7 AS y, CASE WHEN g >= 140 THEN r ELSE 16 END AS r, g >= 140 AS seen FROM {pixels}), e AS (SELECT frame, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM p WHERE seen GROUP BY frame),
+  c AS (SELECT frame, x0 // 2 * 2 AS x0, y0 // 2 * 2 AS y0, least((x1 + 1) // 2 * 2, 7) AS x1, least((y1 + 1) // 2 * 2, 3) AS y1 FROM e)
+  SELECT c.frame, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h, CAST(sum(r) AS BIGINT) AS red FROM c JOIN p ON p.frame = c.frame AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY ALL""")
+def alpha_clean_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Green as alpha, all or nothing at 140; what is not seen gets a flat colour; the rectangle of the rest, made even, is cut out."""
+    seen, x, y = F.col("g") >= 140, F.col("px") % 7, F.floor(F.col("px") / 7)
+    rows = adapters.pixels(spark, sf_dir).groupBy("frame").agg(
+        F.min(F.when(seen, x)).alias("x0"), F.min(F.when(seen, y)).alias("y0"), F.max(F.when(seen, x + 1)).alias("x1"), F.max(F.when(seen, y + 1)).alias("y1"),
+        F.collect_list(F.struct(x.alias("x"), y.alias("y"), F.when(seen, F.col("r")).otherwise(16).alias("r"))).alias("p"),
+    ).filter("x0 IS NOT NULL")
+    even = rows.select("frame", (F.col("x0") - F.col("x0") % 2).alias("x"), (F.col("y0") - F.col("y0") % 2).alias("y"), F.least(F.col("x1") + F.col("x1") % 2, F.lit(7)).alias("x1"), F.least(F.col("y1") + F.col("y1") % 2, F.lit(3)).alias("y1"), "p")
+    inside = F.filter("p", lambda q: (q["x"] >= F.col("x")) & (q["x"] < F.col("x1")) & (q["y"] >= F.col("y")) & (q["y"] < F.col("y1")))
+    return even.select("frame", "x", "y", (F.col("x1") - F.col("x")).alias("w"), (F.col("y1") - F.col("y")).alias("h"), F.aggregate(inside, F.lit(0).cast("bigint"), lambda s, q: s + q["r"]).alias("red"))
+
+
+@query("manifest_rows", "SELECT id, codec || '-' || id AS name, CASE WHEN id % 4 > 0 THEN bytes END AS bytes, CASE WHEN priority > 25 THEN 'wide' ELSE 'narrow' END AS note FROM {pieces}")
+def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest written as tab-separated text under comments, a dash for what is not known, and read back strictly."""
+    import uuid
+
+    from pyspark.sql import types as T
+
+    from tessera.session import checkpoint_dir
+
+    p = adapters.pieces(spark, sf_dir).select("id", F.concat("codec", F.lit("-"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") % 4 > 0, F.col("bytes")).alias("bytes"), F.when(F.col("priority") > 25, "wide").otherwise("narrow").alias("note"))
+    path = f"{checkpoint_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    media.tsv_lines(p, ["master 0", "made by rule"]).write.text(path)
+    kinds = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("note", T.StringType())])
+    return media.read_tsv(spark, path, kinds)

@@ -84,9 +84,6 @@ SELECT CAST(floor(frame / 250) AS BIGINT) AS clip, block, palette, min(frame) AS
 sql_query("fixed_blocks", """
 SELECT CAST(floor(frame / 30) AS BIGINT) AS block, min(frame) AS first, max(frame) AS last, count(DISTINCT frame) AS frames, round(avg(value), 6) AS mean_value FROM {cells} GROUP BY CAST(floor(frame / 30) AS BIGINT)""")
 
-sql_query("clip_difference", """
-WITH o AS (SELECT frame, cell, value, value - value % 4 AS coarse FROM {cells})
-SELECT frame, count(*) AS cells, CAST(sum(CASE WHEN value = coarse THEN 1 ELSE 0 END) AS BIGINT) AS equal_cells, CAST(sum(CASE WHEN value = coarse THEN 0 ELSE 1 END) AS BIGINT) AS other_cells, min(CASE WHEN value <> coarse THEN cell END) AS first_difference FROM o GROUP BY frame""")
 
 sql_query("dirty_union", f"""
 WITH l AS ({LAGGED}), d AS (SELECT DISTINCT frame, y FROM l WHERE before <> value UNION SELECT DISTINCT frame + 1 AS frame, y FROM l WHERE before <> value)

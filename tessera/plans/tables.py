@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessera.plans.registry import query, sql_query
 from tessera.sources import adapters
 
-sql_query("manifest_rows", "SELECT id, concat(codec, '-', id) AS name, bytes, CASE WHEN priority > 25 THEN 'wide' ELSE 'narrow' END AS note FROM {pieces}")
 
 sql_query("offset_table", "SELECT vec_id AS frame, 32 + coalesce(CAST(sum(20 + label) OVER (PARTITION BY floor(vec_id / 250) ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS offset_, CAST(20 + label AS BIGINT) AS block_bytes FROM {embeddings}")
 
