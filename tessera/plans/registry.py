@@ -56,3 +56,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
         return plan
 
     return keep
+
+
+def plan(name: str) -> Callable[[Plan], Plan]:
+    """Register a plan of the DataFrame API for a query whose SQL is there for DuckDB."""
+
+    def keep(own: Plan) -> Plan:
+        if name not in ORACLES:
+            raise KeyError(name)
+        QUERIES[name] = own
+        return own
+
+    return keep
