@@ -98,3 +98,19 @@ def zone_loop(m: np.ndarray, zone: np.ndarray, least: int, most: int, absolute:
         found.append((lag, np.array([longest_run(equal[:, z])[1] >= needed for z in range(zones)])))
     best = max((int(mask.sum()) for _, mask in found), default=0)
     return next(((lag, mask) for lag, mask in found if mask.sum() > best - 1), None) if best else None
+
+
+def changes(m: np.ndarray) -> np.ndarray:
+    """Whether each cell differs from the frame before; all do in the first."""
+    return np.concatenate([np.ones((1, m.shape[1]), bool), m[1:] != m[:-1]])
+
+
+def bits(mask: np.ndarray) -> np.ndarray:
+    """Bytes of a mask, its first place in the lowest bit."""
+    return np.packbits(mask, axis=1, bitorder="little")
+
+
+def numbered(first: int, m: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
+    """A row for each frame and place of columns frames x places."""
+    places = next(iter(columns.values())).shape[1]
+    return pd.DataFrame({"frame": np.repeat(first + np.arange(len(m)), places), "place_": np.tile(np.arange(places), len(m))} | {n: c.ravel() for n, c in columns.items()})

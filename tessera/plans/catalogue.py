@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.plans import codecs, colours, files, folds, frames, loops, rules, scenes, sequences, tables
-from tessera.plans import spatial  # takes the place of some plans of the others
+from tessera.plans import spatial, temporal  # take the place of some plans of the others
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "codecs", "colours", "files", "folds", "frames", "loops", "rules", "scenes", "sequences", "spatial", "tables"]
+__all__ = ["ORACLES", "QUERIES", "codecs", "colours", "files", "folds", "frames", "loops", "rules", "scenes", "sequences", "spatial", "tables", "temporal"]
